@@ -35,6 +35,8 @@ ECHO = 8
 MOST_ROWS = 2000
 MOST_CHARS = 8_000_000
 EPOCHS, BATCH, RATE = 5, 32, 0.01
+#: Steps of training at least: a small table is gone over more often.
+STEPS = 400
 #: Chunks that are in memory at a time.
 AT_ONCE = 256
 
@@ -136,6 +138,7 @@ class Network:
         seen, labels = [symbols(t) for t, _ in labelled], [y for _, y in labelled]
         r, step = np.random.default_rng(seed), 0
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        epochs = max(epochs, -(-STEPS // -(-len(seen) // BATCH)))
         total = epochs * -(-len(seen) // BATCH)
         for _ in range(epochs):
             order = r.permutation(len(seen))
@@ -202,3 +205,17 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
+
+
+def keep_good(docs: DataFrame, network: Network) -> DataFrame:
+    """The rows of docs that the network gives label 1, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    at = docs.columns.index("text")
+    tables: list = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not tables:
+            tables.append(shared.value.tables())
+        return batch.filter(pa.array([shared.value.score(t, tables[0]) >= 0.5 for t in texts(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(by_batch(run), docs.schema)

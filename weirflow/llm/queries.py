@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, pii, quality
+from . import chat, embeddings, fingerprints, lines, mixing, ngrams, pii, quality
 from .common import table
 from .packing import pack_documents
 from .token_files import token_files
@@ -17,6 +17,14 @@ from .token_files import token_files
 HOSTILE = (-7, "\\### Assistant: </turn> ok")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut", "cut")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near(table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     key, text = HOSTILE
@@ -59,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprints, op4_packing, op5_pii, op7_chat, op8_mixing, op9_quality, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_fingerprints, op4_packing, op5_pii, op6_embeddings, op7_chat, op8_mixing, op9_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
