@@ -10,7 +10,7 @@ or more is deleted in the later place. Repetitions within a document count like
 documents. What is deleted always stays in an earlier place.
 
 A fingerprint is joined with its first place only, never with all, so the rows of a passage are
-as many as its places. First places are partial minima; the joins on fingerprints and on the
+as many as its places; and there is one row for each pair of documents, whatever they share. First places are partial minima; the joins on fingerprints and on the
 documents of first places are of written tables, so Spark can split hot keys.
 
 Defined results: a null text stays null, an empty one empty; lines without words belong to the
@@ -92,16 +92,22 @@ def winnow(hashes: np.ndarray, words: np.ndarray, run: int = RUN, found: int = F
     return marks[chosen], chosen
 
 
-def cut_runs(hashes: np.ndarray, words: np.ndarray, matches: list[tuple[int, np.ndarray]], run: int = RUN) -> np.ndarray:
-    """Which lines are in a run of at least run words that equals the lines of a match: (line where it starts here, hashes there)."""
+def cut_runs(hashes: np.ndarray, words: np.ndarray, matches: list[tuple[list[int], int, np.ndarray]], run: int = RUN) -> np.ndarray:
+    """Which lines are in a run of at least run words that equals lines of an earlier place. matches: by how many lines this document's lines stand behind the other's, the other's first line that is given, and its lines from there."""
     gone = np.zeros(len(hashes), bool)
-    for start, other in matches:
-        same = np.zeros(len(other) + 2, np.int8)
-        same[1:-1] = hashes[start : start + len(other)] == other
-        edge = np.flatnonzero(np.diff(same))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if words[start + a : start + b].sum() >= run:
-                gone[start + a : start + b] = True
+    for shifts, first, other in matches:
+        for shift in sorted(shifts):
+            start, stop = max(0, shift + first), min(len(hashes), shift + first + len(other))
+            if stop <= start or gone[start:stop].all():
+                continue
+            same = np.zeros(stop - start + 2, np.int8)
+            same[1:-1] = hashes[start:stop] == other[start - shift - first : stop - shift - first]
+            edge = np.flatnonzero(np.diff(same))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if words[start + a : start + b].sum() >= run:
+                    gone[start + a : start + b] = True
+            if gone.all():
+                return gone
     return gone
 
 
@@ -139,26 +145,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     first = places.groupBy("mark").agg(F.min(F.struct("d", "h", "at")).alias("f"), F.count(F.lit(1)).alias("times")).where("times > 1")
     first = settle(first.select("mark", F.col("f.d").alias("d0"), F.col("f.h").alias("h0"), F.col("f.at").alias("at0")))
     later = places.join(first, "mark").where(F.struct("d", "h", "at") > F.struct(F.col("d0"), F.col("h0"), F.col("at0")))
-    met = settle(later.select("d", "h", "n", "d0", "h0", (F.col("at") - F.col("at0")).alias("shift")).distinct())
+    # one row for each pair of documents, with all shifts; a document has no more of them than fingerprints
+    met = settle(later.groupBy("d", "h", "n", "d0", "h0").agg(F.collect_set(F.col("at") - F.col("at0")).alias("shifts")))
     # of the first place's lines, those that can stand beside lines of the later document
     there = seen.select(F.col("d").alias("d0"), F.col("h").alias("h0"), "lines")
-    start = F.greatest(F.lit(0), F.col("shift"))
-    beside = met.join(there, ["d0", "h0"]).select(F.col("d").alias("_d"), F.col("h").alias("_h"), start.alias("_start"), F.slice("lines", start - F.col("shift") + 1, F.greatest(F.lit(0), F.least(F.col("n") - start, F.size("lines") - start + F.col("shift")))).alias("_lines"))
+    low = F.greatest(F.lit(0), -F.array_max("shifts"))
+    high = F.least(F.size("lines"), F.col("n") - F.array_min("shifts"))
+    beside = met.join(there, ["d0", "h0"]).select(F.col("d").alias("_d"), F.col("h").alias("_h"), "shifts", low.alias("_first"), F.slice("lines", low + 1, F.greatest(F.lit(0), high - low)).alias("_lines")).withColumnRenamed("shifts", "_shifts")
     names = docs.columns
-    whole = docs.select(*key, F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_start"), F.lit(None).cast("array<long>").alias("_lines"), *names)
+    whole = docs.select(*key, F.lit(1).alias("_kind"), F.lit(None).cast("array<int>").alias("_shifts"), F.lit(None).cast("int").alias("_first"), F.lit(None).cast("array<long>").alias("_lines"), *names)
     dealt = whole.unionByName(beside.withColumn("_kind", F.lit(0)), allowMissingColumns=True).repartition(parts(spark), "_d", "_h").sortWithinPartitions("_d", "_h", "_kind")
-    at_text = 5 + names.index(text_col)
+    at_text = 6 + names.index(text_col)
 
     def cut(batches):
         last, matches = None, []
         for batch in batches:
-            d, h, kind, begin = (batch.column(k).to_pylist() for k in range(4))
+            d, h, kind, shifts, first = (batch.column(k).to_pylist() for k in range(5))
             rows, new, counts, gone_counts, spans = [], {}, [], [], []
             for k in range(batch.num_rows):
                 if (d[k], h[k]) != last:
                     last, matches = (d[k], h[k]), []
                 if not kind[k]:
-                    matches.append((begin[k], batch.column(4)[k].values.to_numpy().view(np.uint64)))
+                    matches.append((shifts[k], first[k], batch.column(5)[k].values.to_numpy().view(np.uint64)))
                     continue
                 rows.append(k)
                 text, said, n, m = batch.column(at_text)[k].as_py(), "", 0, 0
@@ -172,10 +180,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
                 gone_counts.append(m)
                 spans.append(said)
             if rows:
-                columns = [batch.column(5 + k).take(pa.array(rows)) for k in range(len(names))]
+                columns = [batch.column(6 + k).take(pa.array(rows)) for k in range(len(names))]
                 if new:
-                    was = columns[at_text - 5].to_pylist()
-                    columns[at_text - 5] = pa.array([new.get(k, t) for k, t in enumerate(was)], columns[at_text - 5].type)
+                    was = columns[at_text - 6].to_pylist()
+                    columns[at_text - 6] = pa.array([new.get(k, t) for k, t in enumerate(was)], columns[at_text - 6].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(spans, pa.string())], [*names, "n_lines", "n_cut", "cut"])
 
     more = [StructField("n_lines", LongType()), StructField("n_cut", LongType()), StructField("cut", StringType())]
