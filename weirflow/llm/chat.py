@@ -122,7 +122,12 @@ def turns_of_json(df: DataFrame, key: str, json: str) -> DataFrame:
     """key, layout, turns: each row of a JSON column by its own layout."""
     own = F.col(json)
     keys = F.coalesce(F.json_object_keys(own), F.array().cast("array<string>"))
-    inner = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(own, f"$.{name}[0]")), F.array().cast("array<string>")), lambda k, n=name: F.concat(F.lit(f"{n}[]."), k)) for name in ("messages", "conversations")]
+
+    def inner_paths(name: str) -> Column:
+        found = F.coalesce(F.json_object_keys(F.get_json_object(own, f"$.{name}[0]")), F.array().cast("array<string>"))
+        return F.transform(found, lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    inner = [inner_paths(x["list"]) for x in LAYOUTS.values() if "list" in x]
     hashes = F.transform(F.concat(keys, *inner), lambda p: F.xxhash64(p))
     layouts = sorted(((n, x) for n, x in LAYOUTS.items() if "rows" not in x), key=lambda x: (len(paths(x[1])), x[0]))
     chosen, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)

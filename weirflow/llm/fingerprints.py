@@ -110,7 +110,7 @@ def ranged(docs: DataFrame, buckets: int, id_col: str = "doc_id") -> DataFrame:
     if len(splits) == 2:
         splits.insert(1, 0.0)
     keyed = docs.withColumn("bucket_key", F.col(id_col).cast("double"))
-    return Bucketizer(splits=splits, inputCol="bucket_key", outputCol="bucket", handleInvalid="keep").transform(keyed).drop("bucket_key").withColumn("bucket", F.col("bucket").cast("int"))
+    return Bucketizer(splits=splits, inputCol="bucket_key", outputCol="bucket", handleInvalid="keep").transform(keyed).drop("bucket_key").withColumn("bucket", F.coalesce(F.col("bucket").cast("int"), F.lit(len(splits))))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_batch, settle, texts
 from .tokens import encoder
@@ -101,18 +101,20 @@ def pack(cut: DataFrame, window: int = WINDOW, rows_per_group: int = ROWS_PER_GR
     """The rows of pieces() with sequence_id and offset. Sequence ids are unique, not gapless: a group's number, then the number within the group."""
     cut = settle(cut)
     groups = max(1, -(-cut.where(F.col("length") < window).count() // rows_per_group))
-    schema = f"{cut.select(*cut.columns)._jdf.schema().toDDL()}, sequence_id long, offset long"
+    schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(batches):
-        rows = [b.to_pandas() for b in batches if b.num_rows]
-        if not rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        t = pd.concat(rows).sort_values([id_col, "start", "ids_crc32"], kind="stable")
-        for group, own in t.groupby("group_id", sort=True):
-            at, offset, _ = best_fit(own["length"].tolist(), window)
-            own = own.drop(columns="group_id")
-            own["sequence_id"], own["offset"] = np.asarray(at, np.int64) * 2 + (np.int64(group) << 32), np.asarray(offset, np.int64)
-            yield pa.RecordBatch.from_pandas(own, preserve_index=False)
+        t = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in ("group_id", id_col, "start", "ids_crc32")])
+        group = t["group_id"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = t.slice(a, b - a).drop_columns("group_id").combine_chunks()
+            at, offset, _ = best_fit(own["length"].to_pylist(), window)
+            own = own.append_column("sequence_id", pa.array(np.asarray(at, np.int64) * 2 + (np.int64(group[a]) << 32))).append_column("offset", pa.array(offset, pa.int64()))
+            yield from own.to_batches()
 
     rest = cut.where(F.col("length") < window).withColumn("group_id", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("long"))
     packed = rest.repartition(groups, "group_id").mapInArrow(place, schema)
