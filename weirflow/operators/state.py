@@ -87,3 +87,25 @@ def gated(df: DataFrame, keys: list[str], amount: str, limit: int) -> DataFrame:
 def seen_before(keys: list[str]) -> Column:
     """Whether the key had a packet before: a list of keys that learns."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) > 1
+
+
+def looked_up(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the state columns of a table, null where the key has no state: a read that makes nothing."""
+    return df.join(table, keys, "left")
+
+
+def stale(df: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """A column stale: the key's count as it stood when this packet's interval of so many seconds began, as a reader sees it who gets a new copy each interval.
+
+    Counts leave each task by interval, and only those, not the packets, are summed in order.
+    """
+    at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds)
+    timed = df.withColumn("_at", at)
+    per = timed.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    sums = per.select(*keys, "_at", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_at")) - F.col("_n")).alias("stale"))
+    return timed.join(sums, [*keys, "_at"]).drop("_at")
+
+
+def once(df: DataFrame, keys: list[str], hit: Column) -> DataFrame:
+    """The first packet of each key that is hit: what has been found isn't looked for again."""
+    return df.where(hit).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*ORDER)).alias("_f")).select(*keys, "_f.*")

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import flags, keys, tcp_options
 from ..functions import strings as S
 from ..operators import assets, counters, flows, match, nat, reassembly, state, verdicts
 from ..sources import rules, synthetic
-from ..sources.packets import both_ways, packet_stream, packets
+from ..sources.packets import as_frames, both_ways, decode_frames, packet_stream, packets
 from ..streaming import processors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,6 +414,83 @@ def concurrency_stats(spark, d):
     return verdicts.weighted_median(h, "active", "n")
 
 
+@query
+def frame_decode(spark, d):
+    """Packets written as frames and read back from their bytes."""
+    out = decode_frames(as_frames(packets(spark, d)))
+    return out.select("pkt_id", "eth_type", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "tcp_flags", "ttl", "df", "pkt_len", "packet_bytes", "payload_len", "seq")
+
+
+@query
+def packet_kinds(spark, d):
+    return packets(spark, d).groupBy(flags.kind().alias("kind"), "proto").agg(F.count(F.lit(1)).alias("packets"))
+
+
+@query
+def tcp_quirks(spark, d):
+    p = packets(spark, d).where("proto = 6").select("pkt_id", "tcp_flags", (F.col("pkt_id") % 3).alias("seq"), (F.col("pkt_id") % 4).alias("ack"), (F.col("pkt_id") % 2).alias("urg"))
+    return p.select("pkt_id", flags.quirks(flags.SYN).cast("int").alias("syn"), flags.quirks(flags.FIN).cast("int").alias("fin"))
+
+
+@query
+def tcp_fingerprint(spark, d):
+    """Option bytes of three kinds read, and the fingerprint text of each packet."""
+    raw = F.when(F.col("pkt_id") % 3 == 0, F.unhex(F.lit("020405b40402080a000000050000000001030307"))).when(F.col("pkt_id") % 3 == 1, F.unhex(F.lit("020405b4")))
+    p = packets(spark, d).where("proto = 6").select("pkt_id", tcp_options.decode_options(raw).alias("o"), F.when(F.col("pkt_id") % 2 == 0, 5840).otherwise(1000).alias("wsize"), F.lit(64).alias("ttl"), F.lit(1).alias("df"), (F.col("pkt_id") % 120).cast("int").alias("size"))
+    return p.select("pkt_id", "o.*", "wsize", "ttl", "df", "size").select("pkt_id", tcp_options.fingerprint_text().alias("fingerprint"))
+
+
+@query
+def home_net(spark, d):
+    return packets(spark, d).where(keys.in_net("src_ip", "10.0.0.0/28") | keys.in_net("dst_ip", "192.168.0.64/27")).select("pkt_id", "src_ip", "dst_ip")
+
+
+@query
+def enabled_checks(spark, d):
+    return packets(spark, d).where(keys.all_set(F.col("tcp_flags"), 0x18)).groupBy("tcp_flags").agg(F.count(F.lit(1)).alias("packets"))
+
+
+@query
+def state_lookup(spark, d):
+    """Odd packets look at what even ones have counted."""
+    p = packets(spark, d)
+    table = p.where("pkt_id % 2 = 0").groupBy("dst_ip").agg(F.count(F.lit(1)).alias("seen"))
+    return state.looked_up(p.where("pkt_id % 2 = 1").select("pkt_id", "dst_ip"), table, ["dst_ip"])
+
+
+@query
+def stale_counter(spark, d):
+    return state.stale(packets(spark, d).select("pkt_id", "ts", "dst_ip"), ["dst_ip"], 86_400).select("pkt_id", "stale")
+
+
+@query
+def first_match_per_connection(spark, d):
+    p = both_ways(packets(spark, d)).select("pkt_id", "ts", "tcp_flags", *keys.sym_flow())
+    return state.once(p, list(keys.SYM), F.col("tcp_flags") == 24).select(*keys.SYM, "pkt_id")
+
+
+@query
+def ordered_state(spark, d):
+    return counters.by_port(packets(spark, d), "dst_port").orderBy("port").select("port", "packets")
+
+
+@query
+def flow_context(spark, d):
+    """The first sequence number and all bytes of each directed flow."""
+    p = packets(spark, d).where("proto = 6")
+    return p.groupBy(*keys.FLOW).agg(F.min_by("pkt_id", F.struct("ts", "pkt_id")).alias("init_seq"), F.sum("pkt_len").cast("long").alias("total_bytes"))
+
+
+@query
+def forwarded_packets(spark, d):
+    """What the protocol filter lets through, read back from files."""
+    import tempfile
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weirflow-')}/forwarded-{uuid.uuid4().hex}"
+    verdicts.forward_to(verdicts.routed(packets(spark, d), F.when(F.col("proto") == 6, 1).otherwise(0)), folder)
+    return spark.read.parquet(folder).select("pkt_id", "proto", "verdict")
+
+
 def streamed(spark: SparkSession, name: str, stream: DataFrame, mode: str) -> DataFrame:
     """A stream's table after all that there is has gone through it."""
     import tempfile

@@ -204,5 +204,24 @@ SQL: dict[str, str] = {
     "throughput_by_hour": of("select cast(floor(epoch(ts) / 3600) as bigint) * 3600 as started, count(*) as packets, cast(sum(pkt_len) * 8 as bigint) as bits from p group by 1"),
     "concurrency_stats": of("select max(active) as most, quantile_cont(active, 0.5) as median from (select ts, count(*) as active from p group by ts)"),
 }
+QUIRKS = "{0} | case when seq = ack then 2048 else 0 end | case when seq = 0 then 4096 else 0 end | case when tcp_flags & 41 <> 0 then 128 else 0 end | case when ack <> 0 then 32 else 0 end | case when urg <> 0 then 8 else 0 end"
+SQL |= {
+    "frame_decode": of("select pkt_id, 2048 as eth_type, src_ip, dst_ip, src_port, dst_port, proto, case when proto = 6 then tcp_flags end as tcp_flags, 64 as ttl, 1 as df, l as pkt_len, l - 20 as packet_bytes, l - case when proto = 6 then 40 else 28 end as payload_len, case when proto = 6 then pkt_id end as seq from (select *, least(pkt_len, 65535) as l from p)"),
+    "packet_kinds": of("select case when proto <> 6 then 'other' when tcp_flags & 18 = 18 then 'synack' when tcp_flags & 2 <> 0 then 'syn' when tcp_flags & 1 <> 0 then 'fin' when tcp_flags & 4 <> 0 then 'rst' when tcp_flags & 16 <> 0 then 'ack' else 'other' end as kind, proto, count(*) as packets from p group by all"),
+    "tcp_quirks": of(f"select pkt_id, cast({QUIRKS.format('0')} as int) as syn, cast({QUIRKS.format('case when tcp_flags & 16 <> 0 then 8192 else 0 end')} as int) as fin from (select pkt_id, tcp_flags, pkt_id % 3 as seq, pkt_id % 4 as ack, pkt_id % 2 as urg from p where proto = 6)"),
+    "tcp_fingerprint": of(
+        """select pkt_id, case when pkt_id % 2 = 0 then 'S4' else '1000' end || ':64:1:' || case when s < 100 then cast(s as varchar) else '*(' || s || ')' end
+      || case pkt_id % 3 when 0 then ':M1460,S,T,N,W7' when 1 then ':M1460' else ':.' end || ':.' as fingerprint
+    from (select pkt_id, pkt_id % 120 as s from p where proto = 6)"""
+    ),
+    "home_net": of("select pkt_id, src_ip, dst_ip from p where src_ip >> 4 = 167772160 >> 4 or dst_ip >> 5 = (3232235520 + 64) >> 5"),
+    "enabled_checks": of("select tcp_flags, count(*) as packets from p where tcp_flags & 24 = 24 group by all"),
+    "state_lookup": of("select pkt_id, p.dst_ip, seen from p left join (select dst_ip, count(*) as seen from p where pkt_id % 2 = 0 group by 1) s on p.dst_ip = s.dst_ip where pkt_id % 2 = 1"),
+    "stale_counter": of("select pkt_id, (select count(*) from p q where q.dst_ip = p.dst_ip and date_trunc('day', q.ts) < date_trunc('day', p.ts)) as stale from p"),
+    "first_match_per_connection": of("select a_ip, b_ip, a_port, b_port, arg_min(pkt_id, (ts, pkt_id)) as pkt_id from s where tcp_flags = 24 group by all", BIDIR),
+    "ordered_state": of("select dst_port as port, count(*) as packets from p group by 1"),
+    "flow_context": of(f"select {FLOW}, arg_min(pkt_id, (ts, pkt_id)) as init_seq, cast(sum(pkt_len) as bigint) as total_bytes from p where proto = 6 group by all"),
+    "forwarded_packets": of("select pkt_id, proto, 'forward' as verdict from p where proto = 6"),
+}
 SQL["stream_src_ip_counter"] = SQL["src_ip_counter"]
 SQL["stream_flow_generation"] = SQL["flow_generation"]

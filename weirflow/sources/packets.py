@@ -89,3 +89,17 @@ def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     )
     step = step.withColumns({"packet_bytes": F.col("pkt_len") - F.col("_ihl"), "payload_len": F.col("pkt_len") - F.col("_ihl") - F.col("_off"), "tcp_options": F.when(tcp, F.substring(f, F.col("_l4") + 21, F.col("_off") - 20))})
     return step.drop("_l3", "_l4", "_ihl", "_off")
+
+
+def hexed(value: Column, size: int) -> Column:
+    """A number as hex digits of so many bytes."""
+    return F.lpad(F.hex(value), 2 * size, "0")
+
+
+def as_frames(df: DataFrame) -> DataFrame:
+    """pkt_id, frame: Ethernet frames with the headers of packets (no payload; lengths of more than two bytes are cut to 65535)."""
+    tcp = F.col("proto") == 6
+    ip = [F.lit("4500"), hexed(F.least(F.col("pkt_len"), F.lit(65535)), 2), F.lit("00004000"), F.lit("40"), hexed(F.col("proto"), 1), F.lit("0000"), hexed(F.col("src_ip"), 4), hexed(F.col("dst_ip"), 4)]
+    ports = [hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2)]
+    rest = F.when(tcp, F.concat(hexed(F.pmod("pkt_id", F.lit(1 << 32)), 4), F.lit("0" * 8), F.lit("50"), hexed(F.col("tcp_flags"), 1), F.lit("16d000000000"))).otherwise(F.lit("00080000"))
+    return df.select("pkt_id", F.unhex(F.concat(F.lit("0" * 24), F.lit("0800"), *ip, *ports, rest)).alias("frame"))
