@@ -39,25 +39,29 @@ def connections(df: DataFrame) -> DataFrame:
     last SYN-ACK, if there was one, came from the destination. The protocol isn't part of the key.
     """
     keyed = df.select("pkt_id", "ts", *keys.FLOW, "proto", "tcp_flags", "pkt_len", *keys.sym_flow())
-    versions = with_generations(keyed, list(keys.SYM))
-    group = [*keys.SYM, "version"]
-    from pyspark.sql import Window
-
-    start = Window.partitionBy(*group).orderBy(*ORDER)
-    opened = versions.withColumn("s_ip", F.first("src_ip").over(start)).withColumn("s_port", F.first("src_port").over(start))
-    same = (F.col("src_ip") == F.col("s_ip")) & (F.col("src_port") == F.col("s_port"))
+    versions = with_generations(keyed, list(keys.SYM)).withColumn("ahead", keys.forward())
     flag = F.when(F.col("proto") == 6, F.col("tcp_flags")).otherwise(0)
+    synack = (F.col("proto") == 6) & flags.all_of(flags.SYN | flags.ACK)
 
-    def total(test, value):
-        return F.coalesce(F.sum(F.when(test, value)), F.lit(0)).cast("long")
+    def by_side(name: str, make, none) -> list:
+        return [F.coalesce(make(side), F.lit(none)).alias(f"{name}_{k}") for k, side in enumerate((F.col("ahead"), ~F.col("ahead")))]
 
-    return opened.withColumn("same", same).groupBy(*group).agg(
-        F.min("s_ip").alias("s_ip"), F.min("s_port").alias("s_port"),
-        total(F.col("same"), F.lit(1)).alias("s_pkts"), total(~F.col("same"), F.lit(1)).alias("d_pkts"),
-        total(F.col("same"), F.col("pkt_len")).alias("s_bytes"), total(~F.col("same"), F.col("pkt_len")).alias("d_bytes"),
-        F.coalesce(F.bit_or(F.when(F.col("same"), flag)), F.lit(0)).alias("s_flags"), F.coalesce(F.bit_or(F.when(~F.col("same"), flag)), F.lit(0)).alias("d_flags"),
+    # both sides are plain sums; which of them is the source is known when all are there
+    both = versions.groupBy(*keys.SYM, "version").agg(
+        first("ahead").alias("from_a"), F.max_by("ahead", F.when(synack, F.struct(*ORDER))).alias("answer_a"),
+        *by_side("pkts", lambda t: F.count(F.when(t, 1)), 0), *by_side("bytes", lambda t: F.sum(F.when(t, F.col("pkt_len"))), 0), *by_side("flags", lambda t: F.bit_or(F.when(t, flag)), 0),
         F.min("ts").alias("start_time"), F.max("ts").alias("last_pkt_time"),
-        F.coalesce(F.max_by(~F.col("same"), F.when((F.col("proto") == 6) & flags.all_of(flags.SYN | flags.ACK), F.struct(*ORDER))), F.lit(False)).alias("answered"),
+    )
+
+    def side(name: str, source: bool):
+        a, b = (F.col(f"{name}_{k}") for k in ((0, 1) if source else (1, 0)))
+        return F.when(F.col("from_a"), a).otherwise(b)
+
+    return both.select(
+        *keys.SYM, "version",
+        F.when(F.col("from_a"), F.col("a_ip")).otherwise(F.col("b_ip")).alias("s_ip"), F.when(F.col("from_a"), F.col("a_port")).otherwise(F.col("b_port")).alias("s_port"),
+        *(side(name, source).cast("int" if name == "flags" else "long").alias(f"{'s' if source else 'd'}_{name}") for name in ("pkts", "bytes", "flags") for source in (True, False)),
+        "start_time", "last_pkt_time", F.coalesce(F.col("answer_a") != F.col("from_a"), F.lit(False)).alias("answered"),
     )
 
 
@@ -71,9 +75,7 @@ def turned(df: DataFrame) -> DataFrame:
 
 def roles(df: DataFrame) -> DataFrame:
     """pkt_id, role: client or server for packets after the first of their connection, by whether they come from its source; the first has none."""
-    from pyspark.sql import Window
-
-    keyed = with_generations(df.select("pkt_id", "ts", *keys.FLOW, "proto", "tcp_flags", *keys.sym_flow()), list(keys.SYM))
-    start = Window.partitionBy(*keys.SYM, "version").orderBy(*ORDER)
-    same = (F.col("src_ip") == F.first("src_ip").over(start)) & (F.col("src_port") == F.first("src_port").over(start))
-    return keyed.select("pkt_id", F.when(F.col("created"), None).when(same, "client").otherwise("server").alias("role"))
+    keyed = with_generations(df.select("pkt_id", "ts", *keys.FLOW, "proto", "tcp_flags", *keys.sym_flow()), list(keys.SYM)).withColumn("ahead", keys.forward())
+    key = [*keys.SYM, "version"]
+    opened = keyed.where("created").select(*key, F.col("ahead").alias("from_a"))  # one row for each connection
+    return keyed.join(opened, key, "left").select("pkt_id", F.when(F.col("created"), None).when(F.col("ahead") == F.col("from_a"), "client").otherwise("server").alias("role"))

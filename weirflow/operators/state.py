@@ -1,9 +1,11 @@
 """Keyed state: what the packets before a packet made of its key.
 
 Arrival order is (ts, pkt_id). State that ends when its connection closes has generations:
-the closing packet still belongs to the generation that it ends. These are windows by key;
-their rows are partitioned by the key alone, so that all of a query's windows share one
-shuffle, and columns that a query doesn't need never reach it.
+the closing packet still belongs to the generation that it ends.
+
+A key may have a third of all packets, so no task is to need all of a key's packets in order. They
+are windows over key and slice of time; what the slices before have summed up to, from partial
+sums, goes ahead of each slice's packets as one row. Packets are shuffled once, by key and slice.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from ..functions.flags import closes
 
 ORDER = ("ts", "pkt_id")
 
+#: Seconds of a slice: so few that one key's packets of a slice fit a task.
+SLICE_SECONDS = 3600
+
 
 @dataclass(frozen=True)
 class StateMap:
@@ -47,46 +52,47 @@ def catalog(spark) -> DataFrame:
     return spark.createDataFrame(rows, "id int, name string, keys string, kind string, placement string")
 
 
-def before(keys: list[str]) -> Window:
-    """The key's packets before this one."""
-    return Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def upto(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def time_slice(seconds: int) -> Column:
+    """The number of the slice of time that a packet came in; -1 without a time, which orders first too."""
+    return F.coalesce(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds), F.lit(-(1 << 40)))
 
 
-def generation(keys: list[str], ends: Column | None = None) -> Column:
-    """How many times the key's state has ended before this packet."""
-    return F.coalesce(F.sum((closes() if ends is None else ends).cast("long")).over(before(keys)), F.lit(0))
+def carried(df: DataFrame, keys: list[str], value: Column, seconds: int = SLICE_SECONDS) -> DataFrame:
+    """df with prior (the sum of value over the key's earlier packets) and last (value of the packet just before, null for the key's first)."""
+    given = df.withColumn("_slice", time_slice(seconds)).withColumn("_v", value)
+    per = given.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_s"), F.max_by("_v", F.struct(*ORDER)).alias("_l"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    heads = per.select(*keys, "_slice", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_v"), F.lag("_l").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_l"), F.lit(0).alias("_kind"))
+    rows = given.withColumn("_l", F.col("_v")).withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    own = Window.partitionBy(*keys, "_slice").orderBy("_kind", *ORDER)
+    out = rows.withColumn("prior", F.sum("_v").over(own.rowsBetween(Window.unboundedPreceding, -1))).withColumn("last", F.lag("_l").over(own))
+    return out.where("_kind = 1").select(*df.columns, F.col("prior").cast("long").alias("prior"), "last")
 
 
 def with_generations(df: DataFrame, keys: list[str], ends: Column | None = None) -> DataFrame:
-    """Columns version, and created: whether the packet makes the state anew."""
-    own = Window.partitionBy(*keys, "version").orderBy(*ORDER)
-    return df.withColumn("version", generation(keys, ends)).withColumn("created", F.row_number().over(own) == 1)
+    """Columns version (how many times the key's state has ended before this packet) and created (whether the packet makes the state anew)."""
+    ended = (closes() if ends is None else ends).cast("long")
+    return carried(df, keys, ended).withColumn("created", F.coalesce(F.col("last") == 1, F.lit(True))).withColumnRenamed("prior", "version").drop("last")
 
 
-def running(keys: list[str], value: Column) -> Column:
-    """The sum of value over the key's packets, this one too: what a strict read after an update sees."""
-    return F.sum(value).over(upto(keys))
+def running(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """A column with the sum of value over the key's packets, this one too: what a strict read after an update sees."""
+    return carried(df.withColumn("_value", value), keys, F.col("_value")).withColumn(name, F.col("prior") + F.col("_value")).drop("prior", "last", "_value")
 
 
 def removed_after(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Columns version and count: state that is removed once it has counted n packets."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) - 1
-    return df.withColumn("version", F.floor(nth / n)).withColumn("count", nth % n + 1)
+    return carried(df, keys, F.lit(1)).withColumn("version", F.floor(F.col("prior") / n)).withColumn("count", F.col("prior") % n + 1).drop("prior", "last")
 
 
 def gated(df: DataFrame, keys: list[str], amount: str, limit: int) -> DataFrame:
     """Columns prior and admitted: amounts count until their sum has reached limit."""
-    prior = F.coalesce(F.sum(amount).over(before(keys)), F.lit(0))
-    return df.withColumn("prior", prior).withColumn("admitted", F.col("prior") < limit)
+    return carried(df, keys, F.col(amount)).withColumn("admitted", F.col("prior") < limit).drop("last")
 
 
-def seen_before(keys: list[str]) -> Column:
-    """Whether the key had a packet before: a list of keys that learns."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) > 1
+def seen_before(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A column known, whether the key had a packet before: a list of keys that learns."""
+    return carried(df, keys, F.lit(1)).withColumn("known", F.col("prior") > 0).drop("prior", "last")
 
 
 def looked_up(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:

@@ -131,7 +131,7 @@ def ids_protocol_verdict(spark, d):
 
 @query
 def flow_created_flag(spark, d):
-    return state.with_generations(packets(spark, d), list(keys.FLOW), F.lit(False)).select("pkt_id", "created")
+    return state.seen_before(packets(spark, d).select("pkt_id", "ts", *keys.FLOW), list(keys.FLOW)).select("pkt_id", (~F.col("known")).alias("created"))
 
 
 @query
@@ -157,7 +157,7 @@ def byte_quota(spark, d):
 
 @query
 def inc_and_get_running(spark, d):
-    return packets(spark, d).select("pkt_id", state.running(["dst_ip"], F.lit(1)).alias("count"))
+    return state.running(packets(spark, d).select("pkt_id", "ts", "dst_ip"), ["dst_ip"], F.lit(1), "count").select("pkt_id", "count")
 
 
 @query
@@ -292,7 +292,7 @@ def whitelist_anti(spark, d):
 
 @query
 def whitelist_learned(spark, d):
-    return packets(spark, d).select("pkt_id", state.seen_before(["src_ip"]).alias("known"))
+    return state.seen_before(packets(spark, d).select("pkt_id", "ts", "src_ip"), ["src_ip"]).select("pkt_id", "known")
 
 
 @query
