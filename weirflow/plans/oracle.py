@@ -68,8 +68,8 @@ MATCHED = """case when contains(text, 'license') then 1 when regexp_matches(text
 NAT = f"""n as (select *, row_number() over (order by first_ts, first_pkt) as nth from (
   select {FLOW}, min(ts) as first_ts, arg_min(pkt_id, (ts, pkt_id)) as first_pkt from p where proto = 6 group by all)),
   t as (select {FLOW}, case when nth <= 64512 then cast(1023 + nth as int) end as new_port from n)"""
-SEGMENTS = """g as (select pkt_id, src_ip, row_number() over (partition by src_ip order by pkt_id * 7919 % 64 + pkt_id, pkt_id) as seq,
-  row_number() over (partition by src_ip order by ts, pkt_id) as arrival from p where proto = 6), r as (
+SEGMENTS = """g as (select pkt_id, src_ip, cast(row_number() over (partition by src_ip order by pkt_id * 7919 % 64 + pkt_id, pkt_id) as int) as seq,
+  cast(row_number() over (partition by src_ip order by ts, pkt_id) as int) as arrival from p where proto = 6), r as (
   select *, max(arrival) over (partition by src_ip order by seq) as release from g), q as (select *, release > arrival as buffered from r)"""
 
 SQL: dict[str, str] = {
@@ -187,11 +187,11 @@ SQL: dict[str, str] = {
     "known_ports_table": f"with {PORTS} select * from kp",
     "link_types_table": f"select * from (values {values(LINK_TYPES)}) t(mtu, link)",
     "string_functions": """select p_partkey, substr(s, 2, 3) as mid, substr(s, 1, 1) || substr(s, 4) as deleted, substr(s, 1, 2) || '--' || substr(s, 3) as inserted,
-      instr(s, 'a') - 1 as found, case when instr(s, 'a') = 0 then -1 else length(s) - instr(reverse(s), 'a') end as last,
-      case when regexp_matches(s, '[xyz ]') then length(regexp_extract(s, '^[^xyz ]*')) else -1 end as any_of,
+      cast(instr(s, 'a') - 1 as int) as found, cast(case when instr(s, 'a') = 0 then -1 else length(s) - instr(reverse(s), 'a') end as int) as last,
+      cast(case when regexp_matches(s, '[xyz ]') then length(regexp_extract(s, '^[^xyz ]*')) else -1 end as int) as any_of,
       substr(repeat(substr(s, 1, 2), 5), 1, 5) as pat, replace(s, ' ', '+') as joined, case when s < 'm' then -1 when s > 'm' then 1 else 0 end as cmp
       from (select p_partkey, p_name as s from part)""",
-    "payload_scan": "select doc_id, case when length(text) >= 10 then least(length(text), 600) end as scanned from documents",
+    "payload_scan": "select doc_id, cast(case when length(text) >= 10 then least(length(text), 600) end as int) as scanned from documents",
     "packet_jitter": of(
         """select count(*) as n, round(quantile_cont(gap, 0.5), 3) as p50, round(quantile_cont(gap, 0.99), 3) as p99 from (
       select epoch(ts) - lag(epoch(ts)) over (partition by src_ip order by ts, pkt_id) as gap from p) where gap is not null"""
@@ -206,7 +206,7 @@ SQL: dict[str, str] = {
 }
 QUIRKS = "{0} | case when seq = ack then 2048 else 0 end | case when seq = 0 then 4096 else 0 end | case when tcp_flags & 41 <> 0 then 128 else 0 end | case when ack <> 0 then 32 else 0 end | case when urg <> 0 then 8 else 0 end"
 SQL |= {
-    "frame_decode": of("select pkt_id, 2048 as eth_type, src_ip, dst_ip, src_port, dst_port, proto, case when proto = 6 then tcp_flags end as tcp_flags, 64 as ttl, 1 as df, l as pkt_len, l - 20 as packet_bytes, l - case when proto = 6 then 40 else 28 end as payload_len, case when proto = 6 then pkt_id end as seq from (select *, least(pkt_len, 65535) as l from p)"),
+    "frame_decode": of("select pkt_id, cast(2048 as bigint) as eth_type, src_ip, dst_ip, cast(src_port as bigint) as src_port, cast(dst_port as bigint) as dst_port, cast(proto as bigint) as proto, cast(case when proto = 6 then tcp_flags end as bigint) as tcp_flags, cast(64 as bigint) as ttl, cast(1 as bigint) as df, l as pkt_len, l - 20 as packet_bytes, l - case when proto = 6 then 40 else 28 end as payload_len, case when proto = 6 then pkt_id end as seq from (select *, least(pkt_len, 65535) as l from p)"),
     "packet_kinds": of("select case when proto <> 6 then 'other' when tcp_flags & 18 = 18 then 'synack' when tcp_flags & 2 <> 0 then 'syn' when tcp_flags & 1 <> 0 then 'fin' when tcp_flags & 4 <> 0 then 'rst' when tcp_flags & 16 <> 0 then 'ack' else 'other' end as kind, proto, count(*) as packets from p group by all"),
     "tcp_quirks": of(f"select pkt_id, cast({QUIRKS.format('0')} as int) as syn, cast({QUIRKS.format('case when tcp_flags & 16 <> 0 then 8192 else 0 end')} as int) as fin from (select pkt_id, tcp_flags, pkt_id % 3 as seq, pkt_id % 4 as ack, pkt_id % 2 as urg from p where proto = 6)"),
     "tcp_fingerprint": of(
