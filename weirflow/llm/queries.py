@@ -75,7 +75,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op6_embeddings": OP6_SQL, "op7_chat": OP7_SQL}
+
+
+#: All pairs that share a run of five words, and what can be reached from each document by links.
+OP2_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') as ws from documents), g as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)), n as (
+  select doc_id, count(*) as n from g group by 1), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all), links as (
+  select a, b, c = x.n and c = y.n as same from pairs join n x on x.doc_id = a join n y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c) - 1e-9), reach as (
+  select doc_id as a, doc_id as c from documents union select r.a, l.b from reach r join links l on l.a = r.c), classes as (
+  select a, min(c) as class_id from reach group by 1), counts as (
+  select a, count(*) as n_links, min(b) filter (same) as twin from links group by 1)
+select doc_id, class_id, coalesce(n_links, 0) as n_links, least(doc_id, coalesce(twin, doc_id)) as set_id
+from documents join classes on classes.a = doc_id left join counts on counts.a = doc_id
+"""
+
+#: All pairs by cosine, and what can be reached from each vector by links.
+OP6_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95), reach as (
+  select vec_id as a, vec_id as c from v union select r.a, l.b from reach r join links l on l.a = r.c), counts as (
+  select a, count(*) as n_links from links group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from (select a as vec_id, min(c) as component_id from reach group by 1) left join counts on counts.a = vec_id
+"""
 
 
 #: The same digests from the rows themselves. The length of the formatted text is that of the texts, of the marks (17 code points and the role a turn), and one more for each escaped character.
