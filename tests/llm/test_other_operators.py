@@ -138,3 +138,14 @@ def test_pipeline_of_odd_documents(spark):
     for df in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[1:4]:
             assert stage(spark, df, DATA).columns == docs.columns
+
+
+@pytest.mark.parametrize("name", ["op2_ngram_join", "op6_embeddings"])
+def test_queries_as_sql(spark, name):
+    import duckdb
+
+    for table in ("documents", "embeddings"):
+        duckdb.sql(f"create or replace view {table} as select * from '{DATA}/{table}.parquet'")
+    want, ours = duckdb.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, DATA)
+    order = sorted(ours.columns)
+    assert sorted(tuple(r[c] for c in order) for r in ours.collect()) == sorted(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall())
