@@ -2,7 +2,7 @@
 
 The number of bits grows with the number of vectors, so that a bucket holds about FILL of them
 by chance, and the number of tables is what the target recall asks for at the threshold.
-Identical directions are one vector with a weight from the start. In each table, vectors meet
+Identical vectors are one with a weight from the start. In each table, vectors meet
 those of their bucket; a bucket of more than BLOCK is cut into blocks, and every pair of blocks
 is its own piece of work, so no task holds more than two blocks. Cosines are computed in double
 precision there. What leaves a piece of work is, for each vector, the weight of its links (each
@@ -16,6 +16,7 @@ of the same vec_id count as one vector each and share a component; an empty tabl
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, parts, settle
+from .common import by_batch, groups, parts, settle
 from .components import components
 
 THRESHOLD = 0.95
@@ -64,18 +65,21 @@ def hub_of(linked: np.ndarray) -> np.ndarray:
 def near(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id_col, n_links, component_id, kept of each row."""
     spark = vectors.sparkSession
-    raw_type = vectors.schema[vector_col].dataType.simpleString()
-    given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(vector_col).alias("raw"))
-    usual = given.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    raw_type, id_type = (vectors.schema[c].dataType.simpleString() for c in (vector_col, id_col))
+    given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("raw"))
+    usual = given.where("raw is not null").groupBy(F.size("raw").alias("n")).count().orderBy(F.desc("count"), "n").first()
     size = usual["n"] if usual else 0
-    sound = F.col("v").isNotNull() & (F.size("v") == size) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    # scaled by a power of two before the norm, so that very large and very small components neither overflow nor vanish
-    top = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda x: x / F.col("top"))
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x * x))
-    unit = given.where(sound).withColumn("top", top).withColumn("scaled", scaled).withColumn("norm", norm).select("id", "raw", F.transform("scaled", lambda x: x / F.col("norm")).alias("v"))
-    marked = settle(unit.select("id", "raw", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("same")))
-    classes = settle(marked.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("raw").alias("v")))
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        flat, at = lists.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0, lists.offsets.to_numpy()
+        rows = [flat[a:b] if b - a == size and there else None for a, b, there in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
+        same = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() if v is not None and np.isfinite(v).all() and v.any() else None for v in rows]
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(same, pa.binary())], ["id", "raw", "same"])
+
+    marked = settle(given.mapInArrow(by_batch(look), f"id {id_type}, raw {raw_type}, same binary"))
+    sound = F.col("same").isNotNull()
+    classes = settle(marked.where(sound).groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("raw").alias("v")))
     n = classes.count()
     bits, tables = plan(n, threshold, recall)
     planes = spark.sparkContext.broadcast(hyperplanes(max(size, 1), bits, tables))  # numbers by the square of a logarithm
@@ -137,6 +141,6 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a != b"))
     state = settle(classes.select("same", "rep", "weight").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("same", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    sound_rows = marked.select("id", "same").join(state, "same").select("id", "n_links", "component_id")
-    rest = given.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    sound_rows = marked.where(sound).select("id", "same").join(state, "same").select("id", "n_links", "component_id")
+    rest = marked.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return sound_rows.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
