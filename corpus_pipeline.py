@@ -25,9 +25,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go from the later documents, and documents of which nothing is left."""
-    out = lines.dedup(docs)
-    left = out.where((F.col("n_cut") == 0) | F.col("text").rlike(r"\S"))
+    """Repeated runs of words go from the later documents, and documents of which nothing is left."""
+    out = lines.dedup(docs, whole_lines=False)
+    left = out.where((F.col("cut") == "") | F.col("text").rlike(r"\S"))
     return left.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

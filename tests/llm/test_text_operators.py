@@ -229,6 +229,46 @@ def test_line_dedup_of_odd_tables(spark, edge):
     assert passage in out[0] and all("passage" not in out[k] and "Own beginning" in out[k] and f"end {k}" in out[k] for k in range(1, 5)) and out[9] == "Clean text of its own."
 
 
+def uncut(rows, run=lines.RUN):
+    """For each text, the words in windows of run words that stood before, by brute force."""
+    seen, out = set(), []
+    for text in rows:
+        words = (text or "").split()
+        gone = np.zeros(len(words), bool)
+        for k in range(len(words) - run + 1):
+            window = tuple(words[k : k + run])
+            if window in seen:
+                gone[k : k + run] = True
+            seen.add(window)
+        out.append(" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
+    return out
+
+
+def check_words(df):
+    rows = sorted(lines.dedup(df, whole_lines=False).collect(), key=lambda r: r.doc_id)
+    was = [r.text for r in df.orderBy("doc_id").collect()]
+    assert [" ".join((r.text or "").split()) for r in rows] == uncut(was)
+    assert [r.cut != "" for r in rows] == [" ".join((r.text or "").split()) != " ".join((t or "").split()) for r, t in zip(rows, was, strict=True)]
+
+
+def test_passages_that_begin_and_end_within_lines_are_cut(spark):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for k in range(40):
+        passage = [word() + ("." if j % 18 == 17 else "") for j in range(51 - k % 22)]
+        for j in range(2):
+            rows.append((2 * k + j, " ".join([*(word() for _ in range(8)), *passage, *(word() for _ in range(7))]) + "."))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_words(df)
+    out = {r.doc_id: r.text for r in lines.dedup(df, whole_lines=False).collect()}
+    assert all(len(out[k].split()) == (15 if k % 2 else len(dict(rows)[k].split())) for k in out)
+
+
+def test_words_against_brute_force(docs):
+    check_words(docs)
+
+
 def brute_links(texts):
     sets = [set(shingles.shingle_hashes(t or "").tolist()) for t in texts]
     return [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9] for i, a in enumerate(sets)]

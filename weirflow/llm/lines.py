@@ -1,27 +1,37 @@
-"""Line dedup by winnowing over line hashes.
-
-A line is a stretch of text up to a line break or the end of a sentence, with its white space
-evened out. Every run of lines of at least RUN words that is no longer than it must be has a
-hash; in every window of lines of at least FOUND words the least of these hashes is selected.
-So whatever is repeated in FOUND words or more of whole lines has a selected fingerprint in
-common with its other places. Fingerprints are joined with their first place in the corpus (by
-doc_id, then place), matches are extended line by line both ways, and a matched run of RUN words
-or more is deleted in the later place. Repetitions within a document count like those between
-documents. What is deleted always stays in an earlier place.
-
-A fingerprint is joined with its first place only, never with all, so the rows of a passage are
-as many as its places; and there is one row for each pair of documents, whatever they share. First places are partial minima; the joins on fingerprints and on the
-documents of first places are of written tables, so Spark can split hot keys.
-
-Defined results: a null text stays null, an empty one empty; lines without words belong to the
-line before; documents with the same id and text are one document and get the same result;
-of the same id and other text, they are ordered by a hash of the text, null ids before all;
-texts of fewer than RUN words stay; an empty table gives no rows; other columns stay.
+"""Line dedup: runs of words that stood before are cut, found by winnowing.
+
+A text is a sequence of words, split at white space. A window is RUN words on end. Every window
+that stands at an earlier place of the corpus too (by doc_id, then place) is cut in the later
+place, so every repeated run of RUN words or more goes, wherever in a line it begins and ends,
+and whatever stands around its other places. Repetitions within a document count like those
+between documents. Each word that is deleted stays in an earlier place.
+
+Of the runs of GRAM words in a window the one with the least hash is the window's mark. It
+depends on the window's words alone, so windows that are equal have equal marks, and only windows
+whose mark stands in two places need a look. Windows side by side with one mark in common are a
+segment. Of equal segments all but the first are cut whole; first segments whose mark also
+stands in other segments are taken apart into their windows, and each window whose first place is
+another one is cut. First places are partial minima, pairs of places are never made, and the
+joins are of written tables, so Spark can split hot keys. Words, marks, segments and windows are
+told apart by 64-bit hashes.
+
+Defined results: a null text stays null, an empty one empty; documents with the same id and text
+are one document and get the same result; of the same id and other text, they are ordered by a
+hash of the text, null ids before all; texts of fewer than RUN words stay; an empty table gives
+no rows; other columns stay. A line is a stretch of text up to a line break or the end of a
+sentence; n_lines counts those with words, n_cut those that are cut whole.
+
+With whole_lines, lines are only cut whole, so that each line stays somewhere: every run of whole
+lines of RUN words or more that stood before, with the same line ends, goes. There, the shortest
+runs of whole lines with RUN words, from each line on and up to each line, are the segments. The
+queries and the pipeline set it to False.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +40,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import by_batch, parts, settle, texts
-from .shingles import mixed
+from .common import by_batch, parts, settle, shared_dir, texts
+from .shingles import mixed, word_hashes
 
 RUN = 30
+#: Words that were found for certain when whole lines were matched; all runs of RUN words are now.
 FOUND = 50
+#: Words whose hash can be a window's mark.
+GRAM = 10
+#: Characters that are hashed at a time.
+AT_A_TIME = 1 << 21
+#: Bits of the filter of texts that are read again, at most.
+BITS = 1 << 27
 
 SENTENCE_END = re.compile(r"[.!?]\s+")
+WORD = re.compile(r"\S+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the lines of a text, their numbers of words, and where they start."""
-    hashes, words, starts, at = [], [], [], 0
-    digest = xxhash.xxh64_intdigest
+def line_bounds(text: str) -> list[tuple[int, int]]:
+    """Where the lines of a text that have words begin and end."""
+    out, at = [], 0
     for row in text.split("\n"):
         place = 0
         while place < len(row):
             end = SENTENCE_END.search(row, place)
             stop = end.end() if end else len(row)
-            own = row[place:stop].split()
-            if own:
-                hashes.append(digest(" ".join(own)))
-                words.append(len(own))
-                starts.append(at + place)
+            if not row[place:stop].isspace():
+                out.append((at + place, at + stop))
             place = stop
         at += len(row) + 1
-    return np.asarray(hashes, np.uint64), np.asarray(words, np.int64), np.asarray(starts, np.int64)
+    return out
+
+
+def lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lines of a text, their numbers of words, and where they start."""
+    bounds = line_bounds(text)
+    own = [text[a:b].split() for a, b in bounds]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words)) for words in own]
+    return np.asarray(hashes, np.uint64), np.asarray([*map(len, own)], np.int64), np.asarray([a for a, _ in bounds], np.int64)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -66,56 +88,87 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def winnow(hashes: np.ndarray, words: np.ndarray, run: int = RUN, found: int = FOUND) -> tuple[np.ndarray, np.ndarray]:
-    """The selected fingerprints of a document and the line where each begins."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    n = len(hashes)
-    if total[-1] < run:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = np.searchsorted(total, total[:-1] + run)  # the run from s is lines s to ends[s] - 1
-    ends = ends[ends <= n]
-    s = np.arange(len(ends))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(BASE, n), dtype=np.uint64)])
-    marks = mixed((sums[ends] - sums[s]) * powers(INVERSE, len(s)))
-    windows = np.searchsorted(total, total[:-1] + found)
-    windows = windows[windows <= n]
-    if not len(windows):
-        windows = np.asarray([n])
-    last = np.searchsorted(ends, windows, "right") - 1
-    first = np.arange(len(windows))
-    best, value = first.copy(), marks[first]
-    for k in range(1, int((last - first).max()) + 1):
-        there = np.minimum(first + k, last)
-        less = marks[there] < value
-        best[less], value[less] = there[less], marks[there][less]
-    chosen = np.unique(best)
-    return marks[chosen], chosen
-
-
-def cut_runs(hashes: np.ndarray, words: np.ndarray, matches: list[tuple[list[int], int, np.ndarray]], run: int = RUN) -> np.ndarray:
-    """Which lines are in a run of at least run words that equals lines of an earlier place. matches: by how many lines this document's lines stand behind the other's, the other's first line that is given, and its lines from there."""
-    gone = np.zeros(len(hashes), bool)
-    for shifts, first, other in matches:
-        for shift in sorted(shifts):
-            start, stop = max(0, shift + first), min(len(hashes), shift + first + len(other))
-            if stop <= start or gone[start:stop].all():
-                continue
-            same = np.zeros(stop - start + 2, np.int8)
-            same[1:-1] = hashes[start:stop] == other[start - shift - first : stop - shift - first]
-            edge = np.flatnonzero(np.diff(same))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if words[start + a : start + b].sum() >= run:
-                    gone[start + a : start + b] = True
-            if gone.all():
-                return gone
-    return gone
-
-
-def kept_text(text: str, starts: np.ndarray, gone: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the lines that are gone, and the spans cut out. What stands before the first line stays with it."""
-    bounds = [0, *starts[1:].tolist(), len(text)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    spans = [(bounds[a], bounds[b]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+def pieces(rows: list[str]):
+    """Ranges of rows with about AT_A_TIME characters together."""
+    first, held = 0, 0
+    for k, text in enumerate(rows):
+        held += len(text)
+        if held >= AT_A_TIME:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(rows):
+        yield first, len(rows)
+
+
+class Words:
+    """The words of some texts, with the hash of any run of them. With whole_lines, a word's hash also tells whether it begins or ends a line."""
+
+    def __init__(self, rows: list[str], whole_lines: bool = False):
+        split = [text.split() for text in rows]
+        self.counts = np.fromiter(map(len, split), np.int64, len(split))
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.n = int(self.counts.sum())
+        h = word_hashes([*chain.from_iterable(split)])
+        self.ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *(lines(text)[1] for text in rows)])) if whole_lines else None
+        if whole_lines and self.n:
+            h[np.concatenate([[0], self.ends[:-1]])] ^= BASE
+            h[self.ends - 1] ^= INVERSE
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(BASE, self.n), dtype=np.uint64)])
+        self.back = powers(INVERSE, self.n + 1)
+
+    def runs(self, size: int) -> np.ndarray:
+        """The hash of the run of size words from each place."""
+        return mixed((self.sums[size:] - self.sums[: self.n + 1 - size]) * self.back[: self.n + 1 - size])
+
+    def segments(self, run: int, gram: int) -> tuple[np.ndarray, ...]:
+        """For each segment: its text, first window, number of windows, mark and hash."""
+        if self.n < run:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        if self.ends is not None:
+            begins = np.concatenate([[0], self.ends[:-1]])
+            on, back = np.searchsorted(self.ends, begins + run), np.searchsorted(begins, self.ends - run, "right") - 1
+            some = np.concatenate([np.stack([begins[on < len(on)], self.ends[on[on < len(on)]]], 1), np.stack([begins[back[back >= 0]], self.ends[back >= 0]], 1)])
+            at, stop = np.unique(some[owner[some[:, 0]] == owner[some[:, 1] - 1]], axis=0).T
+            whole = mixed((self.sums[stop] - self.sums[at]) * self.back[at])
+            return owner[at], at - self.starts[owner[at]], stop - at - (run - 1), whole, whole
+        marks = self.runs(gram)
+
+        def least(a, b):
+            return np.where(marks[b] < marks[a], b, a)  # the first of equal ones
+
+        best, size, width = np.arange(len(marks)), 1, run - gram + 1
+        while 2 * size <= width:
+            best, size = least(best[:-size], best[size:]), 2 * size
+        if size < width:
+            best = least(best[: size - width], best[width - size :])
+        windows = np.flatnonzero(owner[: self.n - run + 1] == owner[run - 1 :])
+        if not len(windows):
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        of = best[windows]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        n = np.diff(np.append(first, len(windows)))
+        at = windows[first]
+        whole = (self.sums[at + n + run - 1] - self.sums[at]) * self.back[at]
+        return owner[at], at - self.starts[owner[at]], n, marks[of[first]], mixed(whole + n.astype(np.uint64) * BASE)
+
+
+def joined(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges, given in any order, as the ranges that they cover."""
+    out: list[list[int]] = []
+    for a, b in sorted(cuts):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def cut_words(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the words in cuts, and the spans cut out. What stands before the first word goes with it."""
+    bounds = [m.start() for m in WORD.finditer(text)]
+    bounds = [0, *bounds[1:], len(text)]
+    spans = [(bounds[a], bounds[b]) for a, b in cuts]
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
@@ -124,66 +177,120 @@ def kept_text(text: str, starts: np.ndarray, gone: np.ndarray) -> tuple[str, lis
     return "".join(out), spans
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, found: int = FOUND) -> DataFrame:
-    """docs with repeated runs cut from the text, and columns n_lines, n_cut (lines cut) and cut (spans start:end, in code points of the text as it was)."""
+def lines_within(cuts: list[tuple[int, int]], words: np.ndarray) -> int:
+    """How many lines are cut whole."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    return sum(max(0, int(np.searchsorted(total, b, "right")) - 1 - int(np.searchsorted(total, a))) for a, b in cuts)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder as Parquet, which takes less room there than settle's rows."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bits_of(d: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """The place of a document in a filter of size bits, a power of two."""
+    return (mixed(d.view(np.uint64) * BASE + h.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """Bits that tell which documents (columns d0, h0) may be among keys: those that aren't are mostly spared, none that is gets lost."""
+    size = min(BITS, max(1 << 10, 1 << (8 * keys.count()).bit_length()))
+
+    def at(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(bits_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), size)).astype(np.int32))], ["bit"])
+
+    out = np.zeros(size, bool)
+    for batch in keys.select("d0", "h0").mapInArrow(by_batch(at), "bit int").toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = True
+    return np.packbits(out)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM, whole_lines: bool = True) -> DataFrame:
+    """docs with repeated runs cut from the text, and columns n_lines, n_cut (lines cut whole) and cut (spans start:end, in code points of the text as it was)."""
     spark = docs.sparkSession
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_h")]
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h")]
+    place = F.struct("d", "h", "at")
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, marks = [], []
-        for text in texts(batch.column(2)):
-            h, w, _ = lines(text)
-            m, at = winnow(h, w, run, found)
-            rows.append(h.view(np.int64))
-            marks.append([{"mark": a, "at": b} for a, b in zip(m.view(np.int64).tolist(), at.tolist(), strict=True)])
-        offsets = np.cumsum([0, *map(len, rows)])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(marks, pa.list_(pa.struct([("mark", pa.int64()), ("at", pa.int32())])))], ["d", "h", "lines", "marks"])
-
-    seen = settle(docs.select(*key, text_col).mapInArrow(by_batch(look), "d long, h long, lines array<long>, marks array<struct<mark:long,at:int>>"))
-    places = seen.select("d", "h", F.size("lines").alias("n"), F.explode("marks").alias("m")).select("d", "h", "n", "m.mark", "m.at")
-    first = places.groupBy("mark").agg(F.min(F.struct("d", "h", "at")).alias("f"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    first = settle(first.select("mark", F.col("f.d").alias("d0"), F.col("f.h").alias("h0"), F.col("f.at").alias("at0")))
-    later = places.join(first, "mark").where(F.struct("d", "h", "at") > F.struct(F.col("d0"), F.col("h0"), F.col("at0")))
-    # one row for each pair of documents, with all shifts; a document has no more of them than fingerprints
-    met = settle(later.groupBy("d", "h", "n", "d0", "h0").agg(F.collect_set(F.col("at") - F.col("at0")).alias("shifts")))
-    # of the first place's lines, those that can stand beside lines of the later document
-    there = seen.select(F.col("d").alias("d0"), F.col("h").alias("h0"), "lines")
-    low = F.greatest(F.lit(0), -F.array_max("shifts"))
-    high = F.least(F.size("lines"), F.col("n") - F.array_min("shifts"))
-    beside = met.join(there, ["d0", "h0"]).select(F.col("d").alias("_d"), F.col("h").alias("_h"), "shifts", low.alias("_first"), F.slice("lines", low + 1, F.greatest(F.lit(0), high - low)).alias("_lines")).withColumnRenamed("shifts", "_shifts")
+        rows, out = texts(batch.column(2)), []
+        for a, b in pieces(rows):
+            of, at, n, mark, seg = Words(rows[a:b], whole_lines).segments(run, gram)
+            take = pa.array(of + a)
+            out.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(seg.view(np.int64))], ["d", "h", "at", "n", "mark", "seg"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
+
+    keyed = docs.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text"))
+    seen = written(keyed.mapInArrow(by_batch(look), "d long, h long, at int, n int, mark long, seg long"))
+    marks = settle(seen.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark"))
+    again = written(seen.join(marks, "mark").select("d", "h", "at", "n", "mark", "seg"))
+    first = written(again.groupBy("seg").agg(F.min(F.struct("d", "h", "at", "n", "mark")).alias("f")).select("seg", "f.*"))
+    later = again.join(first.select("seg", F.struct("d", "h", "at").alias("f")), "seg").where(place > F.col("f"))
+    several = first.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
+    apart = settle(first.join(several, "mark").groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_list(F.struct("at", "n")).alias("segs")))
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, segs, out = texts(batch.column(2)), batch.column(3).to_pylist(), []
+        for a, b in pieces(rows):
+            words = Words(rows[a:b], whole_lines)
+            of = np.repeat(np.arange(b - a), [len(s) for s in segs[a:b]])
+            at, n = (np.asarray([s[c] for some in segs[a:b] for s in some], np.int64) for c in ("at", "n"))
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            of, at = np.repeat(of, n), np.repeat(at, n) + within
+            take = pa.array(of + a)
+            out.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(words.runs(run)[words.starts[of] + at].view(np.int64))], ["d", "h", "at", "win"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    bits = spark.sparkContext.broadcast(filter_of(apart))
+
+    def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k = bits_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), 8 * len(bits.value))
+        return batch.filter(pa.array((bits.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    few = keyed.mapInArrow(by_batch(maybe), keyed.schema)
+    needed = few.join(apart, (F.col("d") == F.col("d0")) & (F.col("h") == F.col("h0"))).select("d", "h", "text", "segs")
+    parted = written(needed.mapInArrow(by_batch(windows), "d long, h long, at int, win long"))
+    least = settle(parted.groupBy("win").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("win", "f"))
+    others = parted.join(least, "win").where(place > F.col("f"))
+    cuts = later.select("d", "h", "at", (F.col("at") + F.col("n") + (run - 1)).alias("stop")).unionByName(others.select("d", "h", "at", (F.col("at") + run).alias("stop")))
+    cuts = cuts.groupBy("d", "h").agg(F.collect_set(F.struct("at", "stop")).alias("c"))
     names = docs.columns
-    whole = docs.select(*key, F.lit(1).alias("_kind"), F.lit(None).cast("array<int>").alias("_shifts"), F.lit(None).cast("int").alias("_first"), F.lit(None).cast("array<long>").alias("_lines"), *names)
-    dealt = whole.unionByName(beside.withColumn("_kind", F.lit(0)), allowMissingColumns=True).repartition(parts(spark), "_d", "_h").sortWithinPartitions("_d", "_h", "_kind")
-    at_text = 6 + names.index(text_col)
+    kind = [F.lit(None).cast("array<int>").alias(c) for c in ("_at", "_stop")]
+    whole = docs.select(key[0].alias("_d"), key[1].alias("_h"), F.lit(1).alias("_kind"), *kind, *names)
+    told = cuts.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.lit(0).alias("_kind"), F.col("c.at").alias("_at"), F.col("c.stop").alias("_stop"))
+    dealt = whole.unionByName(told, allowMissingColumns=True).repartition(parts(spark), "_d", "_h").sortWithinPartitions("_d", "_h", "_kind")
+    at_text = 5 + names.index(text_col)
 
     def cut(batches):
-        last, matches = None, []
+        last, gone = None, []
         for batch in batches:
-            d, h, kind, shifts, first = (batch.column(k).to_pylist() for k in range(5))
+            d, h, kind, at, stop = (batch.column(k).to_pylist() for k in range(5))
             rows, new, counts, gone_counts, spans = [], {}, [], [], []
             for k in range(batch.num_rows):
                 if (d[k], h[k]) != last:
-                    last, matches = (d[k], h[k]), []
+                    last, gone = (d[k], h[k]), []
                 if not kind[k]:
-                    matches.append((shifts[k], first[k], batch.column(5)[k].values.to_numpy().view(np.uint64)))
+                    gone = joined(list(zip(at[k], stop[k], strict=True)))
                     continue
                 rows.append(k)
                 text, said, n, m = batch.column(at_text)[k].as_py(), "", 0, 0
                 if text:
-                    own, words, starts = lines(text)
-                    n = len(own)
-                    if matches and (gone := cut_runs(own, words, matches, run)).any():
-                        new[len(rows) - 1], cuts = kept_text(text, starts, gone)
-                        m, said = int(gone.sum()), ",".join(f"{a}:{b}" for a, b in cuts)
+                    bounds = line_bounds(text)
+                    n = len(bounds)
+                    if gone:
+                        words = np.asarray([len(text[a:b].split()) for a, b in bounds], np.int64)
+                        new[len(rows) - 1], cuts = cut_words(text, gone)
+                        m, said = lines_within(gone, words), ",".join(f"{a}:{b}" for a, b in cuts)
                 counts.append(n)
                 gone_counts.append(m)
                 spans.append(said)
             if rows:
-                columns = [batch.column(6 + k).take(pa.array(rows)) for k in range(len(names))]
+                columns = [batch.column(5 + k).take(pa.array(rows)) for k in range(len(names))]
                 if new:
-                    was = columns[at_text - 6].to_pylist()
-                    columns[at_text - 6] = pa.array([new.get(k, t) for k, t in enumerate(was)], columns[at_text - 6].type)
+                    was = columns[at_text - 5].to_pylist()
+                    columns[at_text - 5] = pa.array([new.get(k, t) for k, t in enumerate(was)], columns[at_text - 5].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(spans, pa.string())], [*names, "n_lines", "n_cut", "cut"])
 
     more = [StructField("n_lines", LongType()), StructField("n_cut", LongType()), StructField("cut", StringType())]

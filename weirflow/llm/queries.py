@@ -18,7 +18,7 @@ HOSTILE = (-7, "\\### Assistant: </turn> ok")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut", "cut")
+    return lines.dedup(table(spark, sf_dir, "documents"), whole_lines=False).select("doc_id", "text", "n_lines", "n_cut", "cut")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
