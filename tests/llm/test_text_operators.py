@@ -269,6 +269,17 @@ def test_words_against_brute_force(docs):
     check_words(docs)
 
 
+@pytest.mark.parametrize("whole_lines", [True, False])
+def test_longer_passages_around_a_frequent_line_are_cut(spark, whole_lines):
+    rows = []
+    for k in range(12):
+        a, b, c = (" ".join(f"k{k}s{j}w{i}" for i in range(30)) + "." for j in range(3))
+        rows += [(10 * k, b), (10 * k + 1, f"{a} {b} {c}"), (10 * k + 2, f"{a} {b} {c}")]
+    out = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=whole_lines).collect()}
+    for k in range(12):
+        assert len(out[10 * k].split()) == 30 and len(out[10 * k + 1].split()) == 60 and out[10 * k + 2] == ""
+
+
 def brute_links(texts):
     sets = [set(shingles.shingle_hashes(t or "").tolist()) for t in texts]
     return [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9] for i, a in enumerate(sets)]
