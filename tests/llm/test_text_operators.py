@@ -309,6 +309,20 @@ def test_ngram_join_of_odd_tables(spark, edge):
     assert ngrams.ngram_join(edge).count() == edge.count() and ngrams.ngram_join(edge.limit(0)).count() == 0
 
 
+def near_texts(word, n):
+    """Texts of which each is a near copy of the others, none equal."""
+    return [" ".join([*(f"{word}{i}" for i in range(60)), f"{word}end{k}"]) for k in range(n)]
+
+
+def test_ngram_join_of_null_and_repeated_ids(spark, edge):
+    check_join(edge)
+    a, b, c, d = (near_texts(w, 3) for w in "abcd")
+    rows = [*((None, t) for t in a), (7, b[0]), (7, b[1]), (8, b[2]), (8, b[2]), (7, c[0]), (9, c[1]), (9, d[0]), (9, "alone " * 9)]
+    check_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    mixed = spark.createDataFrame([(None, d[0]), (None, d[1]), (5, d[2])], "doc_id long, text string")
+    assert sorted((r.n_links, r.class_id) for r in ngrams.ngram_join(mixed).collect()) == [(2, 5)] * 3
+
+
 def test_bands_reach_their_recall():
     r, bands = np.random.default_rng(2), ngrams.bands_for(0.8, 0.99)
     by, hits = ngrams.multipliers(bands * ngrams.ROWS), 0

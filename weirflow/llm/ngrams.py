@@ -12,9 +12,10 @@ for each member, the number of its links (each link counted in the first band in
 meet) and one edge to the first member that it hangs together with, never the pairs.
 
 Defined results: null and empty texts, and texts without words, have no n-grams and link with
-nothing; a text of fewer than five words is one n-gram; repeated rows are linked with each
-other; rows of one id and several texts count as one document with the links of all; an empty
-table gives no rows; other columns are not looked at.
+nothing; a text of fewer than five words is one n-gram; each row is a document, whatever its id:
+repeated rows are linked with each other, and rows of one id and several texts, or without an id,
+have the links of their own text; the smallest id is null only where all are; an empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, groups, parts, settle, texts
@@ -84,13 +85,23 @@ def links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return out
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text; null counts as the empty text."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, class_id (the smallest id that links lead to), n_links (other documents at least as similar as threshold) and set_id (the smallest id with the same n-grams), one row for each row of docs."""
+    return linked(docs, threshold, recall, shingle, id_col, text_col).select(id_col, "class_id", "n_links", "set_id")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ngram_join, row (the row's row_key), and the first row of its class, by id and row: first_row with the id class_id. first_row is null for rows without n-grams."""
     spark = docs.sparkSession
     bands = bands_for(threshold, recall)
     by = multipliers(bands * ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         same, keys = [], []
@@ -99,10 +110,13 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
             same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             keys.append(band_keys(s, bands, ROWS, by).view(np.int64) if len(s) else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists], ["id", "same", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(same, pa.binary()), lists], ["id", "row", "same", "keys"])
 
-    signed = settle(given.mapInArrow(by_batch(sign), f"id {kind}, same binary, keys array<long>"))
-    classes = settle(signed.where("same is not null").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys")))
+    signed = settle(given.mapInArrow(by_batch(sign), f"id {kind}, row long, same binary, keys array<long>"))
+    # a class goes by a number of its own, since ids may be null or stand for several classes; f is its first row
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "row")
+    classes = signed.where("same is not null").groupBy("same").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()))
     met = classes.select("rep", F.posexplode("keys").alias("t", "key"))
     # buckets by their members: their number, smallest, and the sum of their hashes
     buckets = met.groupBy("key", "t").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).where("n > 1")
@@ -112,7 +126,9 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     work = settle(work)
     # the texts of the classes that have work
     needed = settle(work.select("rep").distinct())
-    content = given.withColumnRenamed("id", "rep").join(needed, "rep", "left_semi").join(classes, "rep")
+    held_by = classes.join(needed, "rep", "left_semi").select("rep", "weight", "keys", F.col("f.id").alias("id0"), F.col("f.row").alias("row0"))
+    # rows that are repeated have one text
+    content = given.join(held_by, F.col("id").eqNullSafe(F.col("id0")) & (F.col("row") == F.col("row0"))).select("rep", "weight", "keys", "text").dropDuplicates(["rep"])
     full = work.join(content, "rep").select("t", "key", "x", "y", "own", "rep", "weight", "keys", "text")
     dealt = full.repartition(parts(spark), "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y", "rep")
 
@@ -151,7 +167,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     found = settle(dealt.mapInArrow(compare, "rep long, n long, hub long").groupBy("rep", "hub").agg(F.sum("n").alias("n")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a != b")).withColumnRenamed("node", "rep")
-    state = settle(classes.select("same", "rep", "weight").join(counts, "rep", "left").join(joined, "rep", "left").select("same", "rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id")))
-    some = signed.where("same is not null").select("id", "same").join(state, "same").select("id", "class_id", "n_links", F.col("rep").alias("set_id"))
-    rest = signed.where("same is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("set_id"))
+    whole = classes.select("same", "rep", "f", "weight").join(counts, "rep", "left").join(joined, "rep", "left").select("same", "f", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    whole = settle(whole)
+    heads = settle(whole.groupBy("component").agg(F.min("f").alias("head")))
+    state = settle(whole.join(heads, "component").select("same", "n_links", F.col("f.id").alias("set_id"), F.col("head.id").alias("class_id"), F.col("head.row").alias("first_row")))
+    some = signed.where("same is not null").select("id", "row", "same").join(state, "same").select("id", "class_id", "n_links", "set_id", "row", "first_row")
+    rest = signed.where("same is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("set_id"), "row", F.lit(None).cast("long").alias("first_row"))
     return some.unionByName(rest).withColumnRenamed("id", id_col)
