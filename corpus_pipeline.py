@@ -32,15 +32,22 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word runs hold together, the one with the smallest id stays."""
-    first = ngrams.ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first_id"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of documents that links of five-word runs hold together, the one with the smallest id stays (null after all ids; of one id, by a hash of the text). Documents that nothing links stay, whatever their ids; those without words link with nothing."""
+    rows = ngrams.linked(docs)
+    stays = rows.where("first_row is null or (doc_id <=> class_id and row = first_row)").select(F.col("doc_id").alias("first_id"), F.col("row").alias("_row"), F.col("first_row").isNull().alias("_wordless")).distinct()
+    keyed = docs.withColumn("_key", ngrams.row_key("doc_id", "text"))
+    left = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_key") == F.col("_row")))
+    # rows with one id and text are near copies too, if they have words
+    left = left.withColumn("_own", F.when(F.col("_wordless"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return left.groupBy("first_id", "_row", "_own").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is there as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
+    """A document is there as often as the mix takes it. Documents are told apart by id and text, since ids may be null or stand for several texts."""
+    keyed = docs.withColumn("_key", ngrams.row_key("doc_id", "text"))
+    mixed = mixing.mix(keyed.select("_key", "source", "text"), id_col="_key", with_source=True)
+    copies = mixed.groupBy(F.col("_key").alias("_mixed"), F.col("source").alias("_source")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = keyed.join(copies, (F.col("_key") == F.col("_mixed")) & F.col("source").eqNullSafe(F.col("_source")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 

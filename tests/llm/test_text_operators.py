@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -323,6 +324,19 @@ def test_ngram_join_of_null_and_repeated_ids(spark, edge):
     assert sorted((r.n_links, r.class_id) for r in ngrams.ngram_join(mixed).collect()) == [(2, 5)] * 3
 
 
+def test_near_copies_stage_keeps_documents_without_ids_of_their_own(spark):
+    a, b, c, d, e = (near_texts(w, 2) for w in "abcde")
+    rows = [(None, a[0]), (None, a[1]), (None, b[0]), (None, b[0]), (None, ""), (None, ""), (None, None), (4, c[0]), (4, d[0]), (4, d[0]), (5, d[1]), (None, d[1]), (6, e[0])]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_copies_stage(spark, df, "")
+    got = sorted((str(r.doc_id), r.text or "") for r in left.collect())
+    first = next(t for _, t in got if t in a)  # of one id, either
+    assert got == sorted([("None", first), ("None", b[0]), *[("None", "")] * 3, ("4", c[0]), ("4", d[0]), ("6", e[0])])
+    assert corpus_pipeline.near_copies_stage(spark, df.repartition(5), "").exceptAll(left).count() == 0
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, left, "").collect()]
+    assert max(mixed.count(m) for m in mixed if m[1]) <= mixing.CEILING
+
+
 def test_bands_reach_their_recall():
     r, bands = np.random.default_rng(2), ngrams.bands_for(0.8, 0.99)
     by, hits = ngrams.multipliers(bands * ngrams.ROWS), 0

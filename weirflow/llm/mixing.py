@@ -85,8 +85,8 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """id_col, size, source_size, target and taken (words the mix takes of the document: size times its copies) of each document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = SEED, id_col: str = "doc_id", with_source: bool = False) -> DataFrame:
+    """id_col, source (if asked for), size, source_size, target and taken (words the mix takes of the document: size times its copies) of each document.
 
     weights: of the sources in the order of their names' code points, null last, repeating.
     """
@@ -117,4 +117,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float =
     same = ranked["source"].eqNullSafe(quota["source"]) & (ranked["size"] == quota["size"]) & (ranked["slice"] == quota["slice"])
     chosen = ranked.join(quota, same).select(ranked[id_col], ranked["source"], ranked["size"], (F.col("rank") <= F.col("quota")).cast("long").alias("more"))
     same = chosen["source"].eqNullSafe(shares["source"])
-    return chosen.join(F.broadcast(shares), same).select(id_col, "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("more"))).alias("taken"), (F.col("copies") + F.col("more")).alias("copies"))
+    return chosen.join(F.broadcast(shares), same).select(id_col, *([chosen["source"]] if with_source else []), "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("more"))).alias("taken"), (F.col("copies") + F.col("more")).alias("copies"))
