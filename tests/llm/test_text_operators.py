@@ -8,15 +8,16 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weirflow.llm import fingerprints, lines, mixing, ngrams, packing, pii, quality, shingles, token_files
-from weirflow.llm.tokens import encoder
+from weirflow.llm import fingerprints, lines, mixing, ngrams, packing, pii, quality, shingles, token_files, tokens
+from weirflow.llm.tokens import encoder, split
 
 DATA = "/root/testdata/sf0.001"
-ODD = ["", " ", "  a  b ", "a\n\n b", "\n", "x \n y", "a\n \nb", "don't we'll I'M", "ΑΣ Σ ÀÉ é ﬁ Ⅷ ½ x²", "tab\tsep nb em", "\x1c a\x1db", "<|endoftext|> hi <|startoftext|>", "日本語テキスト 中文", "a" * 3000, "!!??..  --", "١٢٣ 123 4567", " lead", "trail ", "\r\nwin\r\n", "🙂🙃 x", "İstanbul ẞ", "end. Next! (x), y.z"]
+ODD = ["", " ", "  a  b ", "a\n\n b", "\n", "x \n y", "a\n \nb", "don't we'll I'M", "ΑΣ Σ ÀÉ é ﬁ Ⅷ ½ x²", "tab\tsep nb em", "\x1c a\x1db", "<|endoftext|> hi <|startoftext|>", "<|ENDOFTEXT|> x", "日本語テキスト 中文", "a" * 3000, "!!??..  --", "١٢٣ 123 4567", " lead", "trail ", "\r\nwin\r\n", "🙂🙃 x", "İstanbul ẞ", "end. Next! (x), y.z"]
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +35,20 @@ def edge(spark):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_library_s(docs, name):
     own, library = encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
-    for text in [*ODD, *(r.text for r in docs.select("text").collect())]:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
+    r = random.Random(3)
+    made = ["".join(r.choice("ab Z'é.,!\n \t ßİ́Σ1٢_-<|>\x1c\x1f\x0b\x85ªµǅʼ") for _ in range(r.randint(0, 25))) for _ in range(5000)]
+    rows = [*ODD, *made, *(x.text for x in docs.select("text").collect()), None]
+    for text, ids in zip(rows, split(*own.encode_all(pa.array(rows))), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text[:60]
+    assert [len(x) for x in split(*own.encode_all(pa.array(["<|endoftext|>", "a", "<|endoftext|>"])))] == [1, 1, 1]
+
+
+def test_tables_of_stretches_turn_over(docs, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST", 50)
+    monkeypatch.setattr(tokens, "AT_A_TIME", 3000)
+    own, library = tokens.WordEnds(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [x.text for x in docs.select("text").collect()]
+    assert [x.tolist() for x in split(*own.encode_all(pa.array(rows)))] == [library.encode(t, add_special_tokens=False).ids for t in rows]
 
 
 def test_room_tree():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """The path of a folder that isn't there yet, in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that new_folder() named, when nothing will read it again."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by a path that Spark resolves."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,13 +55,13 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow from one that turns a batch into a batch."""
+def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow from one that turns a batch into a batch, of so many rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                if (out := f(batch.slice(k, 1024))) is not None and out.num_rows:
+            for k in range(0, batch.num_rows, rows):
+                if (out := f(batch.slice(k, rows))) is not None and out.num_rows:
                     yield out
 
     return run

@@ -3,9 +3,9 @@
 Each document is cut into full windows first; a full window is a sequence of its own. What
 remains of each document is placed, longest first, into the open sequence whose free room it
 fits most tightly; a tree over the possible amounts of free room finds that sequence in the
-logarithm of the window. Documents are dealt into groups of about ROWS_PER_GROUP and each
-group is packed on its own, so no task holds more than one group and only lengths move, never
-ids or texts.
+logarithm of the window. The remains are dealt by a hash of the whole row and its place (many
+rows of one id are split too) into groups of about ROWS_PER_GROUP, and each group is packed on
+its own, so no task holds more than one group and only lengths move, never ids or texts.
 
 Defined results: a null or empty text is the end id alone; equal documents are packed like
 others; an empty table gives no rows; other columns of the input are not looked at.
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import by_batch, settle, texts
-from .tokens import encoder
+from .common import settle
+from .tokens import encoder, ranges
 
 WINDOW = 2048
 ROWS_PER_GROUP = 32_768
@@ -80,21 +80,26 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int], int
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id_col, start, length, ids_crc32, doc_tokens. All pieces of a document but its last are full windows."""
-    end = int(end_id).to_bytes(4, "little")
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode, out = encoder(vocabulary).encode, []
-        for i, text in enumerate(texts(batch.column(1))):
-            ids = memoryview(encode(text) + end)
-            total = len(ids) // 4
-            for start in range(0, total, window):
-                part = ids[4 * start : 4 * (start + window)]
-                out.append((i, start, len(part) // 4, zlib.crc32(part), total))
-        rows = np.asarray(out, np.int64).reshape(-1, 5)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[:, 0])), *(pa.array(rows[:, k]) for k in range(1, 5))], [id_col, "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(id_col, text_col).mapInArrow(by_batch(cut), f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+    def cut(batches):
+        known = encoder(vocabulary)
+        for batch in batches:
+            for first, last in ranges(batch.column(1)):
+                some = batch.slice(first, last - first)
+                ids, ends = known.encode_all(some.column(1))
+                ids = np.insert(ids, ends, np.uint32(end_id))
+                ends = ends + np.arange(1, len(ends) + 1)
+                total = np.diff(ends, prepend=0)
+                n = -(-total // window)
+                of = np.repeat(np.arange(len(n)), n)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * window
+                length = np.minimum(window, total[of] - start)
+                at, raw = 4 * (ends[of] - total[of] + start), memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[of])], [id_col, "start", "length", "ids_crc32", "doc_tokens"])
+
+    return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(cut: DataFrame, window: int = WINDOW, rows_per_group: int = ROWS_PER_GROUP, id_col: str = "doc_id") -> DataFrame:
@@ -116,7 +121,7 @@ def pack(cut: DataFrame, window: int = WINDOW, rows_per_group: int = ROWS_PER_GR
             own = own.append_column("sequence_id", pa.array(np.asarray(at, np.int64) * 2 + (np.int64(group[a]) << 32))).append_column("offset", pa.array(offset, pa.int64()))
             yield from own.to_batches()
 
-    rest = cut.where(F.col("length") < window).withColumn("group_id", F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("long"))
+    rest = cut.where(F.col("length") < window).withColumn("group_id", F.pmod(F.xxhash64(*cut.columns, F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     packed = rest.repartition(groups, "group_id").mapInArrow(place, schema)
     full = cut.where(F.col("length") == window)
     # a full window needs no company: its sequence is numbered by its own row, on odd numbers

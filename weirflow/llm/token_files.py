@@ -4,19 +4,21 @@ A control byte holds the lengths of four ids; the numbers of the bytes that foll
 from a table of 256 rows, so a block is decoded by numpy alone. Frequent ids get small ranks
 and take one byte.
 
-Two passes over the corpus count every id before any is written, so the ranks are those of
-the whole corpus. Documents are dealt by ranges of their id; each range is cut into blocks of
-at most BLOCK_IDS ids (longer documents make longer blocks), and the blocks are the rows of
-the files, with the ids of documents and their lengths. Files are written by Spark, so they
-live in any store and a lost task is run again. The ranks are a table beside the blocks.
+The first pass makes every document's ids and counts them; the second deals the ids (never
+texts) by ranges of the document id, then of a hash of the text and the row's place, so that
+many rows of one id are split too. So the ranks are those of the whole corpus. Each range is
+cut into blocks of at most BLOCK_IDS ids (longer documents make longer blocks), and the blocks
+are the rows of the files, with the ids of documents and their lengths. Files are written by
+Spark, so they live in any store and a lost task is run again. The ranks are a table beside the
+blocks.
 
 Defined results: null and empty texts are the end id alone; repeated document ids keep all
-their rows; an empty table gives files without blocks; other columns are not looked at.
+their rows, ordered by a hash of the text; null ids come first; an empty table gives files
+without blocks; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, settle, shared_dir, texts
-from .tokens import encoder
+from .common import dropped, new_folder, parts
+from .tokens import encoder, ranges
 
 BLOCK_IDS = 1 << 18
 
@@ -61,57 +63,33 @@ def packed(values: np.ndarray) -> bytes:
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of ids by ranges of the document id, and for each range one row that counts its ids (block -1)."""
-    spark = docs.sparkSession
-    end = int(end_id).to_bytes(4, "little")
+    """id_col, h (a hash of the text), row (a number of the row's own), n_ids and ids of each document; and for each task a row that counts its ids (n_ids -1)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"part int, block long, first `{id_type}`, doc_ids array<{id_type}>, lengths array<long>, n_ids long, ids binary".replace("`", "")
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part = encoder(vocabulary).encode, TaskContext.get().partitionId()
-        counts = np.zeros(0, np.int64)
-        held, names, lengths, size, block = [], [], [], 0, 0
-        names_type = None
-
-        def flush():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return ids, pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array(names[:1], names_type), pa.array([names], pa.list_(names_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([packed(narrow(ids))], pa.binary())], ["part", "block", "first", "doc_ids", "lengths", "n_ids", "ids"])
-
+        known, counts, row = encoder(vocabulary), np.zeros(0, np.int64), TaskContext.get().partitionId() << 40
+        kind = pa.null()
         for batch in batches:
-            names_type = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for name, text in zip(some.column(0).to_pylist(), texts(some.column(1)), strict=True):
-                    ids = encode(text) + end
-                    if held and size + len(ids) // 4 > BLOCK_IDS:
-                        ids_of, out = flush()
-                        counts = added(counts, np.bincount(ids_of))
-                        yield out
-                        held, names, lengths, size, block = [], [], [], 0, block + 1
-                    held.append(ids)
-                    names.append(name)
-                    lengths.append(len(ids) // 4)
-                    size += len(ids) // 4
-        if held:
-            ids_of, out = flush()
-            counts = added(counts, np.bincount(ids_of))
-            yield out
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([-1], pa.int64()), pa.array([None], names_type), pa.array([None], pa.list_(names_type)), pa.array([None], pa.list_(pa.int64())), pa.array([len(counts)], pa.int64()), pa.array([packed(counts)], pa.binary())], ["part", "block", "first", "doc_ids", "lengths", "n_ids", "ids"])
-
-    return docs.select(id_col, text_col).repartitionByRange(parts(spark), id_col).sortWithinPartitions(id_col, text_col).mapInArrow(run, schema)
-
-
-def narrow(ids: np.ndarray) -> np.ndarray:
-    """Two bytes an id while all fit; a first value tells the width."""
-    wide = len(ids) and int(ids.max()) >= 1 << 16
-    return np.concatenate([np.asarray([4 if wide else 2], "<u4").view("<u2"), (ids.view("<u2") if wide else ids.astype("<u2"))])
-
-
-def widened(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(blob), "<u2")
-    return raw[2:].view("<u4") if raw[0] == 4 else raw[2:].astype("<u4")
+            kind = batch.schema.field(0).type
+            for first, last in ranges(batch.column(1)):
+                some = batch.slice(first, last - first)
+                ids, ends = known.encode_all(some.column(1))
+                ids = np.insert(ids, ends, np.uint32(end_id))
+                ends = ends + np.arange(1, len(ends) + 1)
+                n = np.diff(ends, prepend=0)
+                counts = added(counts, np.bincount(ids))
+                width = 2 if int(ids.max()) < 1 << 16 else 4
+                offsets = pa.array(np.append(0, ends) * width, pa.int64())
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(row + np.arange(len(n))), pa.array(n), blobs.cast(pa.binary())], [id_col, "h", "row", "n_ids", "ids"])
+                row += len(n)
+        if len(counts):
+            yield pa.RecordBatch.from_arrays([pa.array([None], kind), pa.array([0], pa.int64()), pa.array([row], pa.int64()), pa.array([-1], pa.int64()), pa.array([packed(counts)], pa.binary())], [id_col, "h", "row", "n_ids", "ids"])
+
+    given = docs.select(id_col, text_col, F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"))
+    return given.mapInArrow(run, f"`{id_col}` {id_type}, h long, row long, n_ids long, ids binary")
 
 
 def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +100,7 @@ def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a
 
 
-def frequencies(blocks: DataFrame) -> DataFrame:
+def frequencies(rows: DataFrame) -> DataFrame:
     """id, n: how often each id occurs in the corpus."""
 
     def run(batches):
@@ -133,30 +111,53 @@ def frequencies(blocks: DataFrame) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    each = blocks.where("block = -1").select("ids").mapInArrow(run, "id long, n long")
+    each = rows.where("n_ids = -1").select("ids").mapInArrow(run, "id long, n long")
     return each.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Writes path/ranks (id, rank) and path/blocks. The ranks are as many as the vocabulary has ids, so they may go through the driver."""
-    spark = docs.sparkSession
-    blocks = settle(tokenize(docs, vocabulary, end_id))
-    found = sorted(frequencies(blocks).collect(), key=lambda r: (-r["n"], r["id"]))
+    spark, held_at = docs.sparkSession, new_folder(docs.sparkSession, "token-ids")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = tokenize(docs, vocabulary, end_id)
+    made.write.option("compression", "none").parquet(held_at)
+    rows = spark.read.schema(made.schema).parquet(held_at)
+    found = sorted(frequencies(rows).collect(), key=lambda r: (-r["n"], r["id"]))
     spark.createDataFrame([(r["id"], k) for k, r in enumerate(found)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max([r["id"] for r in found], default=0) + 1, "<u4")
     rank[[r["id"] for r in found]] = np.arange(len(found), dtype="<u4")
     shared = spark.sparkContext.broadcast(rank)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        part, block, size = TaskContext.get().partitionId(), 0, 0
+        names, lengths, held = [], [], []
+        kind = pa.null()
+
+        def out():
+            control, data = encode_block(shared.value[np.concatenate([np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(held, lengths, strict=True)])])
+            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([names], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "block", "doc_ids", "lengths", "n_ids", "control", "data"])
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                control, data = encode_block(shared.value[widened(row.column(5)[0].as_py())])
-                yield pa.RecordBatch.from_arrays([*(row.column(i) for i in range(5)), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "block", "doc_ids", "lengths", "n_ids", "control", "data"])
+            kind = batch.schema.field(0).type
+            for name, n, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and size + n > BLOCK_IDS:
+                    yield out()
+                    block, size, names, lengths, held = block + 1, 0, [], [], []
+                names.append(name)
+                lengths.append(n)
+                held.append(ids)
+                size += n
+        if held:
+            yield out()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = blocks.where("block >= 0").select("part", "block", "doc_ids", "lengths", "n_ids", "ids").mapInArrow(run, f"part int, block long, doc_ids array<{kind}>, lengths array<long>, n_ids long, control binary, data binary")
+    order = ["doc_id", "h", "row"]
+    dealt = rows.where("n_ids >= 0").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order).select("doc_id", "n_ids", "ids")
+    coded = dealt.mapInArrow(run, f"part int, block long, doc_ids array<{kind}>, lengths array<long>, n_ids long, control binary, data binary")
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
+    dropped(spark, held_at)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -191,6 +192,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None) -> DataFrame:
     """Writes the files and reads them back. path: a new folder, in the shared folder if none is named."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "token-files")
     write_token_files(docs, path, vocabulary, end_id)
     return read_token_files(spark, path)

@@ -1,161 +1,190 @@
-"""Token ids of two public vocabularies at several times the library's speed, with the same ids.
-
-A text is cut at places that are always borders between the pieces that the vocabulary's
-pattern makes; each stretch between them is looked up in a bounded table of stretches seen
-before, and only a stretch that is not there is merged. Merging is done by the rank file
-library with ranks taken from the vocabulary file, whose ids are in the order of its merges;
-the constructor checks that they are. Strings of special tokens inside a text are ordinary
-text: what a document says never becomes a control id.
+"""Token ids of a vocabulary file by the tokenizers library, with a table of stretches that were encoded before.
+
+A text is cut at white space that is always a border between the pieces that the vocabulary's
+pattern makes, so the ids of a text are those of its stretches, one after the other. The
+stretches of a batch are numbered by pyarrow; each different one is looked up in a bounded
+table, and the library encodes those that aren't there: its model alone if a stretch is a word
+of Latin letters with perhaps marks behind it, whose pieces are plain, and else its whole chain
+of steps. Texts in which the file's added tokens stand (such as "<|endoftext|>"), or white
+space in a row where that tells what a border is, go to the library whole. The ids are the
+library's own, in its default setting: an added token's string is that token.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import re
 import struct
-import unicodedata
 from functools import lru_cache
 
-import regex
-import tiktoken
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work to the cores
+
+#: Entries of a table of stretches; when it has more, it becomes the older table, from which what is used again comes back.
+MOST = 400_000
+#: Characters of texts that are cut at a time, and stretches whose ids are put together at a time.
+AT_A_TIME, GATHERED = 1 << 24, 1 << 20
+
+NONE = np.zeros(0, "<u4")
+
+#: Words of ASCII and other Latin letters (U+00AA and U+00BA apart), a space before them or not, and ASCII marks but the apostrophe behind them. Unicode's later versions say nothing else of these.
+PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> letter of the vocabulary file: printable Latin-1 letters stand for themselves, the other bytes for letters from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
+
+
+class Encoder:
+    """What both ways of cutting have in common."""
+
+    def __init__(self, library: Tokenizer) -> None:
+        self.library, self.table, self.older = library, {}, {}
+        self.pieces = library.model.tokenize
+        self.added = [t.content for t in library.get_added_tokens_decoder().values()]
+
+    def direct(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def apart(self, texts: pa.Array) -> pa.Array:
+        """Which texts go to the library whole."""
+        out = pa.array(np.zeros(len(texts), bool))
+        for token in self.added:
+            out = pc.or_(out, pc.match_substring(texts, token))
+        return out
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Where each text's stretches begin, the number of each stretch, and the different stretches."""
+        raise NotImplementedError
+
+    def low(self, word: str) -> str:
+        """A plain word as the library's normalizer leaves it."""
+        return word
+
+    def made(self, stretch: str) -> bytes:
+        """The ids of a stretch."""
+        if (plain := PLAIN(stretch)) is None:
+            return self.direct(stretch).tobytes()
+        word, marks = plain.groups()
+        if marks:
+            return self.known(word) + self.known(marks)
+        if (low := self.low(word)) != word:
+            return self.known(low)
+        spelt = word.replace(" ", LETTERS[32]) if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.pieces(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def known(self, stretch: str) -> bytes:
+        """The ids of a stretch, from the table if they are there."""
+        ids = self.table.get(stretch)
+        if ids is None:
+            ids = self.older.get(stretch)
+            ids = self.table[stretch] = self.made(stretch) if ids is None else ids
+        return ids
+
+    def some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        begins, number, stretches = self.cut(texts)
+        if len(self.table) > MOST:
+            self.older, self.table = self.table, {}
+        ids_of = [*map(self.known, stretches)]
+        length = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) >> 2
+        flat, start = np.frombuffer(b"".join(ids_of), "<u4"), np.cumsum(length) - length
+        own = length[number]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        parts = []
+        for k in range(0, len(number), GATHERED):
+            n = own[k : k + GATHERED]
+            at = np.repeat(start[number[k : k + GATHERED]] - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            parts.append(flat[at])
+        return (np.concatenate(parts) if parts else NONE), ends[begins[1:]]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) as unsigned 32-bit integers, and where those of each text end."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not len(texts):
+            return NONE, np.zeros(0, np.int64)
+        apart = self.apart(texts)
+        if pc.any(apart).as_py():
+            rest = iter(split(*self.encode_all(texts.filter(pc.invert(apart)))))
+            out = [self.direct(t.as_py()) if a else next(rest) for t, a in zip(texts, apart.to_pylist(), strict=True)]
+            return np.concatenate([NONE, *out]), np.cumsum([len(x) for x in out])
+        held, ends, at = [NONE], [], 0
+        for first, last in ranges(texts):
+            ids, end = self.some(texts.slice(first, last - first))
+            ends.append(end + at)
+            held.append(ids)
+            at += len(ids)
+        return np.concatenate(held), np.concatenate(ends)
 
-#: Entries of each half of a table of stretches.
-HALF = 300_000
-
-#: Marks that are a piece of their own behind a word.
-MARKS = ".,;:!?"
-
-#: The patterns by which the two vocabularies split a text before merging.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
-class Unsafe(Exception):
-    """This stretch can't be told apart from its neighbours."""
-
-
-class Table(dict):
-    """Stretch -> its ids as bytes. When it is full, one half is kept as the older half, from which what is used again comes back."""
+    def encode(self, text: str) -> bytes:
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.older = make, {}
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= HALF:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        self[key] = found
-        return found
+def ranges(texts: pa.Array):
+    """Ranges of texts of about AT_A_TIME bytes together, at least one text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(size, AT_A_TIME + (size[first - 1] if first else 0), "right")))
+        yield first, last
+        first = last
 
 
-def byte_letters() -> dict[str, int]:
-    """Letter of the vocabulary file -> byte: printable Latin-1 letters stand for themselves, the other bytes for letters from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+def split(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return np.split(ids, ends[:-1]) if len(ends) else []
 
 
-class ByteLevel:
-    """Byte-level BPE whose pieces take the space before them."""
+def numbered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Offsets of lists of strings, the number of each string, and the different strings."""
+    found = lists.flatten().dictionary_encode()
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
 
-    def __init__(self, model: dict) -> None:
-        letters, vocab = byte_letters(), model["vocab"]
-        ranks = {bytes(letters[c] for c in word): i for word, i in vocab.items()}
-        in_order(vocab, model["merges"], len(vocab) - len(model["merges"]))
-        self.whole = tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.line = self.ids("\n")
-        self.first, self.later = Table(self.ids), Table(self.spaced)
 
-    def ids(self, text: str) -> bytes:
-        return packed(self.whole.encode_ordinary(text))
+class ByteLevel(Encoder):
+    """Pieces take the space before them; of more white space in a row, all but the last are a piece. So one white space behind other characters is a border; a line break stays with the stretch behind it."""
 
-    def spaced(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise Unsafe  # several white spaces in a row: where they are cut depends on what follows
-        return self.ids(" " + word)
+    def apart(self, texts: pa.Array) -> pa.Array:
+        return pc.or_(super().apart(texts), pc.match_substring_regex(texts, r"[\s\x0b\x{85}\p{Z}]{2}"))
 
-    def head(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise Unsafe
-        return self.first[word]
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        begins, number, words = numbered(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "))
+        first, several = begins[:-1], len(words)
+        # the first stretch of a text has no space before it, nor have those that begin with a line break
+        heads, at = np.unique(number[first], return_inverse=True)
+        number = number.copy()
+        number[first] = several + at
+        return begins, number, [*(w if w[:1] == "\n" else f" {w}" for w in words), *(words[k] for k in heads)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        out: list[bytes] = []
-        later = self.later.__getitem__
-        try:
-            for k, line in enumerate(text.split("\n")):
-                words = line.split(" ")
-                if k:
-                    out.append(self.line)
-                out.append(self.head(words[0]))
-                out.extend(map(later, words[1:]))
-        except Unsafe:
-            return self.ids(text)
-        return b"".join(out)
-
-
-class WordEnds:
-    """BPE of lower-case words whose last letter is marked; white space is dropped.
-
-    The letters and marked letters become one character each, all with two bytes in UTF-8, so
-    that merging by ranks first joins those two bytes and then goes on as the merges say.
-    """
-
-    def __init__(self, model: dict) -> None:
-        letters, vocab, end = byte_letters(), model["vocab"], model["end_of_word_suffix"]
-        in_order(vocab, model["merges"], len(vocab) - len(model["merges"]))
-        ranks = {}
-        for word, i in vocab.items():
-            marked = word.endswith(end)
-            codes = [letters[c] for c in (word[: -len(end)] if marked else word)]
-            ranks["".join(chr(0x100 + b) for b in codes[:-1]).encode() + chr((0x200 if marked else 0x100) + codes[-1]).encode()] = i
-        self.whole = tiktoken.Encoding("word", pat_str="[Ā-ǿ]*[Ȁ-˿]", mergeable_ranks=ranks, special_tokens={})
-        self.plain = {b: chr(0x100 + b) for b in range(256)}
-        self.pieces = regex.compile(WORD_PATTERN).findall
-        self.seen = Table(self.ids)
-
-    def ids(self, stretch: str) -> bytes:
-        if not stretch.isascii():
-            stretch = unicodedata.normalize("NFC", stretch).replace("Σ", "σ")  # letters are lowered one by one
-        low = stretch.lower()
-        if len(low) > 1 and low[-1] in MARKS and low[:-1].isalpha():  # two pieces
-            return self.seen[low[:-1]] + self.seen[low[-1]]
-        if low != stretch and low.isalpha():
-            return self.seen[low]
-        marked = []
-        for piece in (low,) if low.isalpha() else self.pieces(low):
-            s = piece.encode().decode("latin-1")
-            marked.append(s[:-1].translate(self.plain) + chr(0x200 + ord(s[-1])))
-        return packed(self.whole.encode_ordinary("".join(marked)))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the pattern
-            return b"".join(map(self.seen.__getitem__, re.split(r"[^\S\x1c-\x1f]+", text)))
-        return b"".join(map(self.seen.__getitem__, text.split()))
+    def made(self, stretch: str) -> bytes:
+        if stretch[:1] != "\n" or stretch == "\n":
+            return super().made(stretch)
+        return self.known("\n") + self.known(stretch[1:])
 
 
-def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+class WordEnds(Encoder):
+    """White space is dropped and always a border."""
 
+    def low(self, word: str) -> str:
+        return word.lower()
 
-def in_order(vocab: dict[str, int], merges: list, first: int) -> None:
-    for k, merge in enumerate(merges):
-        a, b = merge.split(" ") if isinstance(merge, str) else merge
-        if vocab[a.removesuffix("</w>") + b if a.endswith("</w>") else a + b] != first + k:
-            raise ValueError("ids are not in the order of merges")
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        return numbered(pc.ascii_split_whitespace(texts))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ByteLevel | WordEnds:
+def encoder(path: str) -> Encoder:
     """The encoder for a vocabulary file; one of each in a process."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    return (WordEnds if model["end_of_word_suffix"] else ByteLevel)(model)
+    library = Tokenizer.from_file(path)
+    return (WordEnds if library.model.end_of_word_suffix else ByteLevel)(library)
