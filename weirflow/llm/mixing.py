@@ -5,11 +5,12 @@ they have stop there, and what is left over is shared among the others by weight
 source takes its documents whole as often as the target allows, then a part of them whose
 sizes sum to the rest of the budget: documents are counted by exact size, an equal part of
 each size is taken, and a bounded knapsack over the counts that are left fits what remains,
-mostly to the word. Which documents of a size are taken is decided by a seeded hash.
+mostly to the word (see fit). Which documents of a size are taken is decided by a seeded hash.
 
 Only counts by source and size are gathered, one task for each source; documents are ranked
 within source, size and a slice of the hash, so that many documents of one size (copies) are
-dealt over SLICES tasks. The totals of sources are the only rows on the driver.
+dealt over SLICES tasks. The words of each source, two numbers, are the only rows on the
+driver; the shares are sent to the tasks if there are at most SENT sources, and else joined.
 
 Defined results: a null text has size 0; a source without words has target 0 and its documents
 are taken 0 words; null sources are one source, the last; documents of equal id and size are
@@ -18,6 +19,8 @@ interchangeable; an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,6 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Words that the knapsack is to fit at first and at most, after division by the sizes' common divisor.
+FIRST, LARGEST = 1 << 14, 1 << 24
+#: Sources whose shares are sent to all tasks; more are joined by shuffling.
+SENT = 100_000
+
 WEIGHTS = (1.0, 2.0, 3.0)
 CEILING = 3.0
 SLICES = 256
@@ -51,40 +59,69 @@ def targets(sizes: list[int], weights: list[float], ceiling: float = CEILING) ->
     return out
 
 
-def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their words come as near to budget as can be without passing it."""
-    total = sum(s * n for s, n in zip(sizes, counts, strict=True))
-    if budget >= total:
-        return list(counts)
-    take = [n * budget // total for n in counts]
-    rest = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
-    left = [n - t for n, t in zip(counts, take, strict=True)]
-    window = max(1 << 14, 2 * max(sizes))
-    order = sorted((k for k, s in enumerate(sizes) if s), key=lambda k: -sizes[k])
-    for k in order:  # down to what the knapsack is to fit
-        if rest <= window:
-            break
-        more = min(left[k], -(-(rest - window) // sizes[k]), rest // sizes[k])
-        take[k], left[k], rest = take[k] + more, left[k] - more, rest - more * sizes[k]
-    # Bit b of reach: b words can be taken. Counts are split into powers of two; the bits before each step lead back.
-    limit, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for k in reversed(order):
-        if sizes[k] > rest or reach >> rest & 1:
-            break
-        n, power = min(left[k], rest // sizes[k]), 1
-        while n > 0 and not reach >> rest & 1:
+def reachable(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many of each size to take, so that the sum is the largest that can be made up to budget.
+
+    Bit b of reach: the sum b can be made. Counts are split into powers of two; for each sum, the step
+    that first made it is kept, and leads back. It takes 4 bytes for each sum up to budget.
+    """
+    take, reach, limit = [0] * len(sizes), 1, (1 << (budget + 1)) - 1
+    by, steps = np.zeros(budget + 1, np.int32), []
+    for k in sorted((k for k, s in enumerate(sizes) if 0 < s <= budget), key=lambda k: sizes[k]):
+        n, power = min(counts[k], budget // sizes[k]), 1
+        while n > 0 and not reach >> budget & 1:
             part = min(power, n)
-            steps.append((k, part, reach))
-            reach |= (reach << part * sizes[k]) & limit
+            new = (reach << part * sizes[k]) & limit & ~reach
+            if new:
+                raw = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                some = np.flatnonzero(raw)
+                row, bit = np.nonzero(raw[some, None] >> np.arange(8, dtype=np.uint8) & 1)
+                by[some[row] * 8 + bit] = len(steps)
+                steps.append((k, part))
+                reach |= new
             n, power = n - part, power * 2
     at = reach.bit_length() - 1
-    for k, part, before in reversed(steps):
-        if not before >> at & 1:
-            at -= part * sizes[k]
-            take[k] += part
+    while at:
+        k, part = steps[by[at]]
+        take[k] += part
+        at -= part * sizes[k]
     return take
 
 
+def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each size to take so that their words come near to budget without passing it.
+
+    An equal part of each size is taken, and a bounded knapsack fits the words that are left. If the
+    budget isn't met to the word (what no sum of sizes can be by their common divisor doesn't
+    count), a smaller part is fixed and the knapsack gets more, up to all or LARGEST words. So the
+    result is the nearest there is if the budget is up to LARGEST times the common divisor, and
+    else the nearest with a knapsack of so many; sizes over that are only taken in equal parts.
+    """
+    divisor = math.gcd(*sizes)
+    total = sum(s * n for s, n in zip(sizes, counts, strict=True))
+    if budget >= total or not divisor:
+        return list(counts)
+    whole, budget, total = [s // divisor for s in sizes], budget // divisor, total // divisor
+    best, gap, window = [0] * len(sizes), budget + 1, FIRST
+    while gap:
+        fixed = max(0, budget - window)
+        take = [n * fixed // total for n in counts]
+        rest = budget - sum(s * t for s, t in zip(whole, take, strict=True))
+        for k in sorted(range(len(whole)), key=lambda k: -whole[k]) if rest > window else ():  # down to what the knapsack is to fit
+            if rest <= window:
+                break
+            more = min(counts[k] - take[k], -(-(rest - window) // whole[k]), rest // whole[k]) if whole[k] else 0
+            take[k], rest = take[k] + more, rest - more * whole[k]
+        fitted = reachable(whole, [n - t for n, t in zip(counts, take, strict=True)], min(rest, LARGEST))
+        rest -= sum(s * t for s, t in zip(whole, fitted, strict=True))
+        if rest < gap:
+            best, gap = [a + b for a, b in zip(take, fitted, strict=True)], rest
+        if window >= min(budget, LARGEST):
+            break
+        window = min(32 * window, LARGEST)
+    return best
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = SEED, id_col: str = "doc_id", with_source: bool = False) -> DataFrame:
     """id_col, source (if asked for), size, source_size, target and taken (words the mix takes of the document: size times its copies) of each document.
 
@@ -96,12 +133,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float =
     # the order's highest bits are its slice
     own = own.withColumn("slice", F.shiftright("order", 56).cast("int") + 128)
     histogram = settle(own.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n")))
-    totals = sorted(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    target = targets([r["words"] for r in totals], [weights[k % len(weights)] for k in range(len(totals))], ceiling)
-    shares = spark.createDataFrame([(r["source"], r["words"], t, int(t // r["words"]) if r["words"] else 0) for r, t in zip(totals, target, strict=True)], "source string, source_size long, target double, copies long")
+    words = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    words = settle(words.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1))  # one row a source; texts are ordered by their bytes, so by code point
+    known = words.select("k", "source_size").toArrow().sort_by("k")["source_size"].to_pylist()
+    target = targets(known, [weights[k % len(weights)] for k in range(len(known))], ceiling)
+    given = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(known)), "target": np.asarray(target, float), "copies": np.asarray([int(t // n) if n else 0 for n, t in zip(known, target, strict=True)], np.int64)}), "k int, target double, copies long")
+    send = F.broadcast if len(known) <= SENT else lambda df: df
+    shares = words.join(send(given), "k").drop("k")
     # a source's sizes, one row each: as many as there are different sizes
     by_size = histogram.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    budgets = by_size.join(F.broadcast(shares), by_size["source"].eqNullSafe(shares["source"])).select(by_size["source"], "size", "n", (F.round("target").cast("long") - F.col("copies") * F.col("source_size")).alias("budget"))
+    budgets = by_size.join(send(shares), by_size["source"].eqNullSafe(shares["source"])).select(by_size["source"], "size", "n", (F.round("target").cast("long") - F.col("copies") * F.col("source_size")).alias("budget"))
 
     def plan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size")
@@ -117,4 +158,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ceiling: float =
     same = ranked["source"].eqNullSafe(quota["source"]) & (ranked["size"] == quota["size"]) & (ranked["slice"] == quota["slice"])
     chosen = ranked.join(quota, same).select(ranked[id_col], ranked["source"], ranked["size"], (F.col("rank") <= F.col("quota")).cast("long").alias("more"))
     same = chosen["source"].eqNullSafe(shares["source"])
-    return chosen.join(F.broadcast(shares), same).select(id_col, *([chosen["source"]] if with_source else []), "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("more"))).alias("taken"), (F.col("copies") + F.col("more")).alias("copies"))
+    return chosen.join(send(shares), same).select(id_col, *([chosen["source"]] if with_source else []), "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("more"))).alias("taken"), (F.col("copies") + F.col("more")).alias("copies"))
