@@ -359,16 +359,36 @@ def test_bands_reach_their_recall():
     assert hits >= 285
 
 
-def test_fit():
+def test_fit(monkeypatch):
     r = random.Random(9)
-    for _ in range(200):
+    for k in range(2000):
+        monkeypatch.setattr(mixing, "FIRST", r.choice([1, 8, 64, 1 << 14]))
         sizes = sorted(r.sample(range(0, 60), r.randint(1, 12)))
+        if k % 3 == 0:
+            sizes = [6 * x for x in sizes]
         counts = [r.randint(1, 4) for _ in sizes]
-        total = sum(s * n for s, n in zip(sizes, counts, strict=True))
-        budget = r.randint(0, total + 5)
+        sums = {0}
+        for s, n in zip(sizes, counts, strict=True):
+            sums = {x + s * j for x in sums for j in range(n + 1)}
+        budget = r.randint(0, max(sums) + 5)
         take = mixing.fit(sizes, counts, budget)
-        got = sum(s * t for s, t in zip(sizes, take, strict=True))
-        assert all(0 <= t <= n for t, n in zip(take, counts, strict=True)) and got <= budget and min(budget, total) - got <= max(sizes)
+        assert all(0 <= t <= n for t, n in zip(take, counts, strict=True))
+        assert sum(s * t for s, t in zip(sizes, take, strict=True)) == max(x for x in sums if x <= budget)
+
+
+def test_fit_is_bounded_with_a_very_long_text():
+    import tracemalloc
+
+    tracemalloc.start()
+    sizes = [*range(2, 24_002, 2), 6_000_000]
+    counts = [1] * len(sizes)
+    budget = sum(sizes) // 2 | 1
+    take = mixing.fit(sizes, counts, budget)
+    assert sum(s * t for s, t in zip(sizes, take, strict=True)) == budget - 1 and tracemalloc.get_traced_memory()[1] < 500e6
+    odd = [*range(3, 3003, 3), 6_000_001]  # the common divisor is 1, the budget can't be met
+    take = mixing.fit(odd, [1] * len(odd), 1_000_000)
+    assert sum(s * t for s, t in zip(odd, take, strict=True)) == 999_999 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
 
 
 def test_targets():
@@ -396,6 +416,13 @@ def test_mixing(docs, edge):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_without_sending_shares(docs, monkeypatch):
+    key = lambda r: tuple(map(str, r))
+    want = sorted(map(key, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert sorted(map(key, mixing.mix(docs).collect())) == want
+
+
 def test_network_gradients():
     net = quality.Network(3)
     seen, labels = [quality.symbols("some text that is long enough " * 20), quality.symbols("x!! y!! z!!")], [1, 0]
@@ -441,3 +468,51 @@ def test_quality(spark, docs, edge):
     assert quality.classify(edge.limit(0), labels).count() == 0
     net = quality.Network(1)
     assert quality.keep_good(edge, net).columns == edge.columns
+
+
+def plain_score(net, text):
+    """The network's score of a text, window by window and without its tables."""
+    raw = text.encode("utf-8", "replace")
+    size = max(quality.WIDTH, quality.WIDTH + -(-(len(raw) - quality.WIDTH) // quality.STRIDE) * quality.STRIDE)
+    echo, last = [0] * size, {}
+    for k in range(len(raw) - 2):
+        gap = k - last.get(raw[k : k + 3], -(1 << 40))
+        echo[k + 2] = sum(gap <= 2**j for j in range(3, 10))
+        last[raw[k : k + 3]] = k
+    raw += bytes(size - len(raw))
+    windows = []
+    for at in range(0, size - quality.WIDTH + 1, quality.STRIDE):
+        v = net.p["bias"].astype(float).copy()
+        for k in range(quality.WIDTH):
+            v += (net.p["byte"][raw[at + k]] + net.p["echo"][echo[at + k]]).astype(float) @ net.p["filters"][k]
+        windows.append(np.maximum(v, 0))
+    chunks = np.asarray([np.max(windows[k : k + quality.WINDOWS], 0) for k in range(0, len(windows), quality.WINDOWS)])
+    z = np.concatenate([chunks.max(0), chunks.mean(0)]) @ net.p["out"] + net.p["out_bias"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_those_of_the_network(spark, docs, edge):
+    net = quality.Network(5)
+    net.p["out"] *= 20
+    for df in (docs.limit(12), edge.where("doc_id < 4")):
+        want = {r.doc_id: plain_score(net, r.text or "") for r in df.collect()}
+        got = {r.doc_id: r.score for r in quality.score(df, net).collect()}
+        assert got == pytest.approx(want, abs=1e-5) and len(set(got.values())) > 1
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(5, f"text {k} " * 30) for k in range(60)] + [(6, "same words " * 40)] * 60 + [(7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 1), (6, 0), (6, 0), (7, 1), (None, 1), (8, None)], "doc_id long, quality int")
+    seen = []
+    train = quality.Network.train
+
+    def spy(self, labelled, *a, **b):
+        seen.append(labelled)
+        return train(self, labelled, 1)
+
+    quality.Network.train = spy
+    try:
+        quality.fit(docs, labels, most_rows=20, most_chars=3000)
+    finally:
+        quality.Network.train = train
+    assert all(len(x) <= 20 and sum(len(t) for t, _ in x) <= 3000 for x in seen)

@@ -10,7 +10,7 @@ largest of its windows; the largest and the mean of the chunks' values, of all f
 through one logistic layer to a probability.
 
 Training uses at most MOST_ROWS labelled rows, the first by the crc32 of their id, whose texts
-sum to at most MOST_CHARS; they, and nothing else, go through the driver. Scoring reads each
+sum to at most MOST_CHARS, repeated rows once; they, and nothing else, go through the driver. Scoring reads each
 document as a whole, in batches of chunks, wherever it lies.
 
 Defined results: a null or empty text is one chunk of zero bytes and gets the score that the
@@ -169,18 +169,22 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> Network:
     """A network trained on the labelled rows that are not held out."""
-    rows = labels.where(~held_out("doc_id") & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "quality").limit(most_rows)
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")  # most_rows rows of two numbers
-    sizes = sorted(some.select("doc_id", "quality", F.length("text").alias("n"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"], r["n"]))
-    kept, chars = [], 0
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = labels.where(~held_out("doc_id") & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(order, "doc_id", "quality").limit(most_rows)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    some = docs.select("doc_id", text).join(F.broadcast(rows), "doc_id").withColumn("h", F.xxhash64("text"))  # most_rows rows of two numbers
+    # ids may be repeated in either table: the limit counts again after the join
+    sizes = some.select("doc_id", "quality", "h", F.length("text").alias("n")).orderBy(order, "doc_id", "quality", "h").limit(most_rows).collect()
+    kept, chars = set(), 0
     for r in sizes:
-        if chars + r["n"] <= most_chars:
-            kept.append(r["doc_id"])
+        if chars + r["n"] <= most_chars and (r["doc_id"], r["h"]) not in kept:
+            kept.add((r["doc_id"], r["h"]))
             chars += r["n"]
     if not kept:
         return Constant(0.5)
-    chosen = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(kept))], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    labelled = sorted((r["text"], r["quality"]) for r in some.join(F.broadcast(chosen), "doc_id").select("text", "quality").collect())
+    chosen = docs.sparkSession.createDataFrame(sorted(kept), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
+    found = some.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "quality"]).select("text", "quality")
+    labelled = sorted((r["text"], r["quality"]) for r in found.collect())
     ones = sum(y for _, y in labelled)
     if ones in (0, len(labelled)):
         return Constant(ones / len(labelled))
