@@ -69,9 +69,9 @@ def test_chat_query(spark):
 
 
 def brute(ids, vectors, threshold=0.95):
-    sound = [v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
+    sound = [v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for v in vectors]
     unit = [np.asarray(v, float) / np.abs(v).max() / np.linalg.norm(np.asarray(v, float) / np.abs(v).max()) if s else None for v, s in zip(vectors, sound, strict=True)]
-    links = [[j for j in range(len(ids)) if j != i and sound[i] and sound[j] and unit[i] @ unit[j] >= threshold] for i in range(len(ids))]
+    links = [[j for j in range(len(ids)) if j != i and sound[i] and sound[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold] for i in range(len(ids))]
     part = list(ids)
     for _ in ids:
         new = [min([part[i], *(part[j] for j in near)]) for i, near in enumerate(links)]
@@ -87,7 +87,7 @@ def test_embeddings(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "FILL", 16)
     r = np.random.default_rng(4)
     centres = r.normal(size=(12, 8))
-    vectors = [(centres[k % 12] + r.normal(size=8) * 0.12).tolist() for k in range(240)] + [centres[0].tolist()] * 20 + [(centres[1] * 3).tolist(), centres[1].tolist(), None, [0.0] * 8, [1.0] * 7, [float("nan")] * 8, [None] * 8, [float("inf")] + [0.0] * 7, [1e300] * 8, [1e-300] * 8]
+    vectors = [(centres[k % 12] + r.normal(size=8) * 0.12).tolist() for k in range(240)] + [centres[0].tolist()] * 20 + [(centres[1] * 3).tolist(), centres[1].tolist(), None, [0.0] * 8, [1.0] * 7, [2.0] * 7, [1.0] * 3, [float("nan")] * 8, [None] * 8, [float("inf")] + [0.0] * 7, [1e300] * 8, [1e-300] * 8]
     ids = [int(x) for x in r.permutation(1000)[: len(vectors)]]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>, rep int, key string")
     assert sorted(map(tuple, embeddings.near(df).collect())) == brute(ids, vectors)
@@ -98,6 +98,24 @@ def test_embeddings_of_odd_tables(spark):
     assert embeddings.near(spark.createDataFrame([], kind)).count() == 0
     one = spark.createDataFrame([(3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, None)], kind)
     assert sorted(map(tuple, embeddings.near(one).collect())) == [(3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True)]
+    named = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [2.0, 4.0]), (None, [1.0, 2.0]), ("c", [1.0, 2.0, 0.0]), ("d", [])], "name string, v array<double>")
+    got = {r.name: (r.n_links, r.component_id, r.kept) for r in embeddings.near(named, id_col="name", vector_col="v").collect()}
+    assert got == {"a": (2, "a", True), "b": (2, "a", False), None: (2, "a", False), "c": (0, "c", True), "d": (0, "d", True)}
+
+
+def test_candidates_leave_out_no_link():
+    r = np.random.default_rng(8)
+    bits, tables = embeddings.plan(50_000)
+    most, planes, lost = embeddings.most_apart(bits, tables, 0.95), embeddings.hyperplanes(64, bits, tables), 0
+    for _ in range(2000):
+        a, b = r.normal(size=64), r.normal(size=64)
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b)
+        signs = (np.stack([a, b]) @ planes > 0).reshape(2, tables, bits)
+        lost += not (signs[0] == signs[1]).all(1).any() or (signs[0] != signs[1]).sum() > most
+    assert lost <= 6
+    assert embeddings.most_apart(4, 1, 0.95) == 0
 
 
 def test_tables_reach_their_recall():
