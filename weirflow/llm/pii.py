@@ -1,13 +1,16 @@
 """Personal data by weak supervision.
 
 Base spans are those of four fixed patterns with their checks; they always stay. Looser
-patterns propose more spans. Labelers vote yes, no or nothing on every span, base or proposed:
-the strict pattern, the form of its parts, gazetteers of domains, prefixes and reserved
-numbers, and words before it that speak for or against it. Votes are counted over the whole
-corpus by pattern of votes; expectation-maximisation estimates from the counts how far each
-labeler can be relied on and how likely each pattern of votes is to be personal data; and a
-logistic span classifier is trained on these probabilities with the votes and the span's form.
-A proposed span is added if the classifier says so and no base span of any kind overlaps it.
+patterns propose more spans: emails and addresses written out of the way of harvesters, IPv6
+addresses, cards with other marks between the digits, telephone numbers without a plus.
+Labelers vote yes, no or nothing on every span, base or proposed: the strict pattern, the form
+of its parts (a checksum for cards), gazetteers of domains, prefixes and reserved numbers, words
+before it that speak for it, words that speak against it, and letters or digits that touch it.
+Spans are counted over the whole corpus by pattern of votes; expectation-maximisation estimates
+from the counts how far each labeler can be relied on (see reliabilities) and how likely each pattern of votes is to be personal data; and a logistic span classifier is trained
+on these probabilities, with kind, votes, length and marks of a span, base and proposed spans
+weighing half each. A proposed span is added if the classifier says so and no base span of any
+kind overlaps it.
 
 What the classifier sees of a span is one small number (its signature), so the corpus's counts
 are a table of bounded size, and only that goes through the driver.
@@ -19,6 +22,7 @@ repeated rows have equal results; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +42,15 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-#: Proposals by kind.
+#: Proposals: kind, pattern, and strings of which one is in every text with a match.
 LOOSE = (
-    (0, re.compile(r"[A-Za-z0-9._+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63})+"), ("(at)", "[at]", " at ")),
+    (0, re.compile(r"[A-Za-z0-9._+-]{1,64}\x20?[(\[{]at[)\]}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{]dot[)\]}]\x20?|\.)[A-Za-z0-9-]{1,63})+"), ("(at)", "[at]", "{at}")),
+    (0, re.compile(r"[A-Za-z0-9._+-]{1,64}\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63})+"), (" dot ",)),
     (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), (":",)),
-    (3, re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-]*[0-9])"), None),
+    (1, re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?![0-9])"), ("[.]", "(.)", "[dot]")),
+    (2, re.compile(r"(?<![0-9./_])[0-9]{4}(?:[./_][0-9]{4}){3}(?![./_]?[0-9])"), (".", "/", "_")),
+    (3, re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![.-]?[0-9])"), ("-", ".", " ")),
+    (3, re.compile(r"(?<![0-9+])00[1-9][0-9]?[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,5}){1,3}(?![0-9])"), ("00",)),
 )
 
 ENDINGS = frozenset("com org net edu gov mil int info biz io de fr es it nl be ch at uk us ca au jp eu".split())
@@ -51,9 +59,15 @@ FOR = (frozenset("email e-mail mail contact write courriel correo reply".split()
 AGAINST = frozenset("version release build section chapter isbn issn doi order invoice id sku page figure table price".split())
 WORDS = re.compile(r"[^\W\d_][\w-]*")
 
-LABELERS = 5
+LABELERS = 6
+#: How often each labeler that votes is thought to say yes of no and of yes before any count, which weighs as BELIEF votes do.
+SAYS_YES, BELIEF = np.asarray([[0.1, 0.45, 0.45, 0.25, 0.5, 0.5], [0.9, 0.55, 0.55, 0.75, 0.98, 0.98]]), 20.0
+#: Labelers that only ever say no: their silence is a yes.
+OBJECTORS = [4, 5]
 VOTES = 3**LABELERS
-FORMS = 8
+#: Bits of a span's form: long, marks of more than one kind, brackets.
+FORM_BITS = 3
+FORMS = 2**FORM_BITS
 
 
 def luhn(digits: str) -> bool:
@@ -96,19 +110,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def proposed(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of the looser patterns that overlap no base span."""
-    out = []
+    """Spans of the looser patterns that overlap no base span and no earlier proposal of their kind, by kind and start."""
+    first = DIGIT.search(text)
+    found = []
     for kind, pattern, marks in LOOSE:
-        if marks is None:
-            first = DIGIT.search(text)
-            found = pattern.finditer(text, max(0, first.start() - 1)) if first else ()
-        elif marks == (":",) and text.count(":") < 7 or not any(m in text for m in marks):
-            continue
-        elif kind == 0 and not any(d in text for d in ("(dot)", "[dot]", " dot ")):
+        if kind and first is None or not any(m in text for m in marks) or marks == (":",) and text.count(":") < 7:
             continue
+        found += [(kind, *m.span()) for m in pattern.finditer(text, max(0, first.start() - 5) if kind and first else 0)]
+    if not found:
+        return []
+    starts, ends = [], []  # what base spans cover, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(b, ends[-1])
         else:
-            found = pattern.finditer(text)
-        out += [(kind, a, b) for a, b in (m.span() for m in found) if not any(a < y and x < b for _, x, y in base)]
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for kind, a, b in sorted(found):
+        before = bisect_left(starts, b) - 1
+        if (before < 0 or ends[before] <= a) and not (out and out[-1][0] == kind and a < out[-1][2]):
+            out.append((kind, a, b))
     return out
 
 
@@ -119,20 +141,24 @@ def signature(text: str, kind: int, start: int, end: int, strict: bool) -> int:
     votes = [1 if strict else 0]
     if kind == 0:
         domain = re.split(r"@|\bat\b", said)[-1]
-        parts = [p for p in re.split(r"[.\s()\[\]]+|\bdot\b", domain) if p]
+        parts = [p for p in re.split(r"[.\s()\[\]{}]+|\bdot\b", domain) if p]
         votes += [1 if 2 <= len(said) <= 254 and ".." not in said else -1, 1 if parts and parts[-1].lower() in ENDINGS else -1]
     elif kind == 1:
-        parts = said.split(".")
-        votes += [1 if ":" in said or all(p == str(int(p)) for p in parts) else -1, -1 if said.startswith(("0.", "127.", "255.")) or said == "::1" else 1]
+        parts = re.findall("[0-9A-Fa-f]+", said)
+        six = ":" in said
+        votes += [1 if six or all(int(p) <= 255 and p == str(int(p)) for p in parts if p.isdecimal()) else -1, -1 if said.startswith(("0.", "127.", "255.", "0[", "127[", "255[")) or six and len(set(parts)) < 3 else 1]
     elif kind == 2:
         votes += [1 if luhn(digits) else -1, 1 if digits.startswith(ISSUERS) else -1]
     else:
-        votes += [1 if 9 <= len(digits) <= 15 else -1, -1 if len(set(digits)) < 3 or digits[:3] == "000" else 1]
+        votes += [1 if 9 <= len(digits) <= 15 else -1, -1 if len(set(digits)) < 3 or digits[:3] == "000" and not strict else 1]
     votes += [1 if FOR[kind].intersection(before) else 0, -1 if AGAINST.intersection(before) else 0]
+    touched = start > 0 and text[start - 1].isalnum() or end < len(text) and text[end].isalnum()
+    votes += [-1 if touched else 0]
     code = 0
     for v in votes:
         code = code * 3 + v + 1
-    form = (end - start > 16) + 2 * (start > 0 and text[start - 1].isalnum()) + 4 * (end < len(text) and text[end].isalnum())
+    marks = set(re.sub(r"[\w@]", "", said))
+    form = (end - start > 16) + 2 * (len(marks) > 1) + 4 * bool(marks & set("()[]{}"))
     return (kind * VOTES + code) * FORMS + form
 
 
@@ -141,32 +167,41 @@ def votes_of(signatures: np.ndarray) -> np.ndarray:
     return np.stack([code // 3**k % 3 - 1 for k in range(LABELERS - 1, -1, -1)], 1)
 
 
-def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over patterns of votes with counts n: the probability that each pattern is personal data, and of each vote (-1, 0, 1) of each labeler given no and yes."""
-    said = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, labeler, vote
-    p = 1 / (1 + np.exp(-votes.sum(1).astype(float)))
-    table = None
+def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over patterns of votes with counts n: the probability that each pattern is personal data, and of a yes of each labeler that votes given no and yes.
+
+    An abstention says nothing, but for labelers that only say no. Base and proposed spans have a
+    share of personal data each.
+    """
+    heard = votes.copy()
+    heard[:, OBJECTORS] = np.where(votes[:, OBJECTORS] < 0, -1, 1)
+    yes_vote, no_vote = (heard == 1).astype(float), (heard == -1).astype(float)
+    base, table, prior = votes[:, 0] == 1, SAYS_YES, np.full(len(votes), 0.5)
+    p = np.zeros(len(votes))
     for _ in range(rounds):
-        yes, no = (n * p)[:, None, None], (n * (1 - p))[:, None, None]
-        table = np.stack([((w * said).sum(0) + 1.0) / (w.sum() + 3.0) for w in (no, yes)])  # label, labeler, vote
-        prior = (float((n * p).sum()) + 1) / (float(n.sum()) + 2)
-        logs = [np.log(q) + (said * np.log(table[k])).sum((1, 2)) for k, q in ((0, 1 - prior), (1, prior))]
+        logs = [np.log(q) + yes_vote @ np.log(t) + no_vote @ np.log(1 - t) for q, t in zip((1 - prior, prior), table, strict=True)]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
         if np.abs(new - p).max() < 1e-9:
             break
-        p = new
+        p, yes, no = new, n * new, n * (1 - new)
+        table = np.stack([(w @ yes_vote + said * BELIEF) / (w @ (yes_vote + no_vote) + BELIEF) for w, said in zip((no, yes), SAYS_YES, strict=True)])
+        share = [(float(yes[side].sum()) + 1) / (float(n[side].sum()) + 2) for side in (~base, base)]
+        prior = np.where(base, share[1], share[0])
     return p, table
 
 
 def span_features(signatures: np.ndarray) -> np.ndarray:
-    """Kind, each labeler's yes and no, and form, as numbers 0 and 1; and a constant."""
-    kind, form, v = signatures // FORMS // VOTES, signatures % FORMS, votes_of(signatures)
-    return np.concatenate([np.ones((len(v), 1)), kind[:, None] == np.arange(len(KINDS)), v == 1, v == -1, (form[:, None] >> np.arange(3)) & 1], 1).astype(float)
+    """Kind, each labeler's yes and no but the strict one's, and form, as numbers 0 and 1; and a constant. What the strict pattern says is left out, for it says nothing of proposed spans."""
+    kind, form, v = signatures // FORMS // VOTES, signatures % FORMS, votes_of(signatures)[:, 1:]
+    return np.concatenate([np.ones((len(v), 1)), kind[:, None] == np.arange(len(KINDS)), v == 1, v == -1, (form[:, None] >> np.arange(FORM_BITS)) & 1], 1).astype(float)
 
 
-def span_classifier(signatures: np.ndarray, n: np.ndarray, p: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights of logistic regression on the probabilities, by Newton steps."""
-    x, weight = span_features(signatures), np.minimum(n, 1e6).astype(float)
+def span_classifier(signatures: np.ndarray, n: np.ndarray, p: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weights of logistic regression on the probabilities, by Newton steps. Only shares of spans count, not their number: base and proposed ones have half each."""
+    x, base = span_features(signatures), votes_of(signatures)[:, 0] == 1
+    weight = n.astype(float)
+    for side in (base, ~base):
+        weight[side] *= 500 / max(1.0, weight[side].sum())
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
