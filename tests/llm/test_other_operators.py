@@ -46,11 +46,30 @@ def test_chat_layouts(spark):
     got = {r.conv_id: r for r in chat.turns_of_json(spark.createDataFrame(rows, "conv_id int, j string"), "conv_id", "j").collect()}
     assert all([tuple(t) for t in got[k].turns] == two for k in range(4)) and all(got[k].turns is None and got[k].layout is None for k in (7, 8, 9))
     assert chat.path_hash("messages[].role") == spark.range(1).select(F.xxhash64(F.lit("messages[].role")).alias("h")).first().h
-    formatted = chat.format_rows(chat.rows_of(chat.turns_of(frames[0][0])))
+    formatted = chat.format_rows(chat.turn_rows(frames[0][0]))
     assert read(formatted)[1].loss == "r"
     assert chat.format_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_the_fingerprint_chooses_the_mapping(spark, monkeypatch):
+    want = [(1, 0, "user", "p"), (1, 1, "assistant", "r")]
+    frames = [
+        spark.createDataFrame([(1, 0, "user", "p", "x"), (1, 1, "assistant", "r", "y")], "conv_id int, turn int, role string, text string, prompt string"),
+        spark.createDataFrame([("human", 0, "p", 1, "no"), ("gpt", 1, "r", 1, "no")], "author string, position int, body string, thread_id int, text string"),
+        spark.createDataFrame([(1, "p", "r")], "conv_id int, question string, answer string"),
+        spark.createDataFrame([(1, [("human", "p"), ("gpt", "r")])], "conv_id int, conversations array<struct<from:string,value:string>>"),
+    ]
+    for df in frames:
+        assert sorted(map(tuple, chat.turn_rows(df).collect())) == want
+    for other in ("conv_id int, turn int, role string, words string", "conv_id int, messages array<struct<role:string>>"):
+        with pytest.raises(ValueError):
+            chat.turn_rows(spark.createDataFrame([], other))
+    both = "conv_id int, prompt string, response string, completion string"
+    assert chat.turns_of(spark.createDataFrame([(1, "p", "r", "c")], both)).first().turns[1].text == "r"  # of two layouts the first
+    monkeypatch.setitem(chat.LAYOUTS, "turn_rows", {"rows": ("conv_id", "turn", "text", "role")})
+    assert chat.turn_rows(frames[0]).first().text == "user"
+
+
 def test_chat_has_no_python(spark):
     plan = queries.op7_chat(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -147,6 +147,41 @@ def test_fingerprints_add_up():
     assert fingerprints.fingerprint("a\na") != fingerprints.fingerprint("a") and fingerprints.fingerprint("").likeness(fingerprints.fingerprint("")) == 1
 
 
+def plain_fingerprint(text):
+    """A text's lanes, a paragraph and a run of words at a time."""
+    mask, equal, like = (1 << 64) - 1, [0] * fingerprints.EQUAL, [0] * fingerprints.LIKE
+    for p in text.split("\n") if text else ():
+        digest = hashlib.blake2b(p.encode(), digest_size=64).digest()
+        equal = [(a + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) & mask for k, a in enumerate(equal)]
+        words = p.split()
+        for at in range(max(1, len(words) - 4)) if words else ():
+            run = 0
+            for k in range(5):
+                run = (run * 0x9E3779B97F4A7C15 + (shingles.xxhash.xxh64_intdigest(words[at + k]) if at + k < len(words) else 0)) & mask
+            run = ((run ^ run >> 31) * 0xBF58476D1CE4E5B9) & mask
+            like[run >> 56] += 1 if run >> 55 & 1 else -1
+    return equal, like
+
+
+def test_fingerprints_against_plain_sums(docs, edge):
+    for text in [*ODD, *(r.text or "" for r in docs.limit(30).collect()), "one two three\n\nfour five six seven eight nine ten\n a"]:
+        own = fingerprints.fingerprint(text)
+        assert (own.equal.tolist(), own.like.tolist()) == plain_fingerprint(text), text[:50]
+    many = fingerprints.fingerprint("word " * 40_000)
+    assert many.likeness(fingerprints.fingerprint("word " * 30_000)) == 1
+
+
+def test_fingerprints_of_one_id_are_dealt(spark):
+    rows = [(5, f"text {k} of one id") for k in range(300)] + [(None, f"no id {k}") for k in range(200)] + [(7, "the same")] * 300 + [(k, f"own {k}") for k in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = [r["count"] for r in fingerprints.ranged(df, 12).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 150 and len(sizes) >= 9
+    got = fingerprints.fingerprint_documents(df).collect()
+    ordered = [(r.doc_id, r.text) for r in df.orderBy(F.asc_nulls_last("doc_id"), F.shiftright(F.xxhash64("text"), 11)).collect()]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + ordered[(k + 1) % 1000][1][: len(t) // 4]).encode()).hexdigest() for k, (_, t) in enumerate(ordered))
+    assert sorted(r.edited_sha256 for r in got) == want and len(got) == 1000
+
+
 def test_fingerprints_of_odd_tables(edge):
     rows = fingerprints.fingerprint_documents(edge).collect()
     assert len(rows) == edge.count() and {r.n_chars for r in rows if r.doc_id in (1, 2)} == {0}

@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A paragraph (a line of the text) is hashed to a wide vector: EQUAL lanes of 64 bits that
-depend on the whole paragraph, and LIKE lanes of 16 bits in which every run of SHINGLE words
+depend on the whole paragraph, and LIKE lanes of 32 bits in which every run of SHINGLE words
 (all words, if there are fewer) adds or subtracts one. A document's fingerprint is the sum of
 its paragraphs' vectors, each lane modulo its power of two. So it doesn't depend on the order
 of paragraphs, and adding or deleting a paragraph adds or subtracts its vector. The EQUAL lanes
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,13 @@ EQUAL, LIKE = 8, 256
 
 
 class Fingerprint:
-    """equal: EQUAL lanes modulo 2**64; like: LIKE lanes modulo 2**16."""
+    """equal: EQUAL lanes modulo 2**64; like: LIKE lanes modulo 2**32."""
 
     __slots__ = ("equal", "like")
 
     def __init__(self, equal: np.ndarray | None = None, like: np.ndarray | None = None) -> None:
         self.equal = np.zeros(EQUAL, np.uint64) if equal is None else equal
-        self.like = np.zeros(LIKE, np.int16) if like is None else like
+        self.like = np.zeros(LIKE, np.int32) if like is None else like
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.equal + other.equal, self.like + other.like)
@@ -50,12 +51,12 @@ class Fingerprint:
     __hash__ = None
 
     def __str__(self) -> str:
-        return base64.b64encode(self.equal.astype("<u8").tobytes() + self.like.astype("<i2").tobytes()).decode()
+        return base64.b64encode(self.equal.astype("<u8").tobytes() + self.like.astype("<i4").tobytes()).decode()
 
     @classmethod
     def parse(cls, said: str) -> Fingerprint:
         raw = base64.b64decode(said)
-        return cls(np.frombuffer(raw[: 8 * EQUAL], "<u8").astype(np.uint64), np.frombuffer(raw[8 * EQUAL :], "<i2").astype(np.int16))
+        return cls(np.frombuffer(raw[: 8 * EQUAL], "<u8").astype(np.uint64), np.frombuffer(raw[8 * EQUAL :], "<i4").astype(np.int32))
 
     def likeness(self, other: Fingerprint) -> float:
         if self == other:
@@ -95,32 +96,67 @@ def fingerprint(text: str) -> Fingerprint:
     run = run[whole]
     lane = (run >> np.uint64(56)).astype(np.int64)
     sign = ((run >> np.uint64(55)) & np.uint64(1)).astype(np.float64) * 2 - 1
-    return Fingerprint(equal, np.bincount(lane, sign, LIKE).astype(np.int64).astype(np.int16))
+    return Fingerprint(equal, np.bincount(lane, sign, LIKE).astype(np.int64).astype(np.int32))
 
 
-def ranged(docs: DataFrame, buckets: int, id_col: str = "doc_id") -> DataFrame:
-    """docs with a column bucket: ranges of ids of about equal counts, nulls in the last.
+def borders(docs: DataFrame, buckets: int) -> tuple[list[float], dict[float, int]]:
+    """Ids that cut docs into about buckets ranges of equal counts, and how many ranges each id that fills more than one has. They are quantiles, as many as there are ranges."""
+    key = F.col("doc_id").cast("double")
+    found = docs.select(key.alias("k")).approxQuantile("k", [k / buckets for k in range(1, buckets)], max(0.2 / buckets, 1e-4)) if buckets > 1 else []
+    times = Counter(found)
+    return sorted(times), {k: n for k, n in times.items() if n > 1}
 
-    The borders are quantiles; there are as many as partitions, and they are all that comes to the driver.
+
+def ranged(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (doc_id, text) with columns h, a hash of the text (53 bits, so that quantiles have them all), and bucket: ranges in the order of id (null last) and h, of about equal counts.
+
+    An id that fills several ranges, as null may, has them by quantiles of h; and of one h that
+    fills several, rows are dealt by turns, as they are the same.
     """
     from pyspark.ml.feature import Bucketizer
 
-    found = docs.select(F.col(id_col).cast("double").alias("k")).approxQuantile("k", [k / buckets for k in range(1, buckets)], max(0.2 / buckets, 1e-4)) if buckets > 1 else []
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
-    if len(splits) == 2:
-        splits.insert(1, 0.0)
-    keyed = docs.withColumn("bucket_key", F.col(id_col).cast("double"))
-    return Bucketizer(splits=splits, inputCol="bucket_key", outputCol="bucket", handleInvalid="keep").transform(keyed).drop("bucket_key").withColumn("bucket", F.coalesce(F.col("bucket").cast("int"), F.lit(len(splits))))
+    keyed = docs.withColumn("h", F.shiftright(F.xxhash64("text"), 11)).withColumn("k", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf"))))
+    cuts, hot = borders(docs, buckets)
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("none")).first()
+    hot[float("inf")] = max(1, -(-total["none"] * buckets // max(1, total["n"])))
+    # bucket numbers: the ranges of each cut follow each other, then those of null
+    first, at = [0], 1
+    for cut in cuts:
+        first.append(at)
+        at += hot.get(cut, 1)
+    first.append(at)
+    index = F.lit(0)
+    if cuts:
+        index = F.col("i").cast("int")
+        keyed = Bucketizer(splits=[float("-inf"), *cuts, 1.7e308], inputCol="b", outputCol="i").transform(keyed.withColumn("b", F.least("k", F.lit(1.6e308))))
+    # the last range of a cut also has the ids behind it
+    last = [0, *(a + hot.get(c, 1) - 1 for a, c in zip(first[1:-1], cuts, strict=True))]
+    keyed = keyed.withColumn("bucket", F.when(F.col("k") == float("inf"), first[-1]).otherwise(F.element_at(F.array(*map(F.lit, last)), index + 1)))
+    several = {k: n for k, n in hot.items() if n > 1}
+    if several:
+        most = 8 * max(several.values())
+        marks = keyed.where(F.col("k").isin([*several])).groupBy("k").agg(F.percentile_approx("h", [j / most for j in range(1, most)], 100 * most).alias("q")).collect()
+        rows = [(r["k"], [r["q"][round(j * most / several[r["k"]]) - 1] for j in range(1, several[r["k"]])], first[-1] if r["k"] == float("inf") else first[1 + cuts.index(r["k"])]) for r in marks]
+        table = docs.sparkSession.createDataFrame(rows, "k double, cuts array<long>, from int")  # as many numbers as ranges
+        keyed = keyed.join(F.broadcast(table), "k", "left")
+        low, high = (F.size(F.filter("cuts", f)) for f in (lambda c: c < F.col("h"), lambda c: c <= F.col("h")))
+        turn = F.pmod(F.monotonically_increasing_id(), high - low + 1).cast("int")
+        keyed = keyed.withColumn("turn", turn).withColumn("bucket", F.when(F.col("cuts").isNull(), F.col("bucket")).otherwise(F.col("from") + low + F.col("turn")))
+    return keyed.select("doc_id", "text", "h", "bucket")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, extra: rows dealt by ranges of doc_id and sorted by bucket, extra, doc_id and text. The first row of each bucket is also, as extra, the last of the bucket before, and that of the first bucket the last of all. Text null: empty."""
+    """doc_id, text, bucket, extra: rows dealt by ranges of doc_id and sorted by bucket, extra, doc_id and a hash of the text. The first row of each bucket is also, as extra, the last of the bucket before, and that of the first bucket the last of all. Text null: empty."""
     n = parts(docs.sparkSession)
     keyed = ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 3 * n)
-    heads = sorted(keyed.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).collect(), key=lambda r: r["bucket"])  # a row for each bucket
-    moved = docs.sparkSession.createDataFrame([(r["bucket"], r["doc_id"], heads[k - 1]["bucket"]) for k, r in enumerate(heads)], f"bucket int, head {docs.schema['doc_id'].dataType.simpleString()}, to int")
-    first = keyed.join(F.broadcast(moved), "bucket").where(F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("extra"))
-    return keyed.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).unionByName(first).repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.asc_nulls_last("doc_id"), "text")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    heads = sorted(keyed.groupBy("bucket").agg(F.min(order).alias("o")).collect(), key=lambda r: r["bucket"])  # a row for each bucket
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    moved = docs.sparkSession.createDataFrame([(r["bucket"], r["o"]["doc_id"], r["o"]["h"], heads[k - 1]["bucket"]) for k, r in enumerate(heads)], f"bucket int, head {kind}, head_h long, to int")
+    same = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h"))
+    first = keyed.join(F.broadcast(moved), "bucket").where(same).groupBy(F.col("to").alias("bucket"), "doc_id", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "h", "bucket", F.lit(1).alias("extra"))
+    dealt = keyed.select("doc_id", "text", "h", "bucket", F.lit(0).alias("extra")).unionByName(first).repartition(n, "bucket")
+    return dealt.sortWithinPartitions("bucket", "extra", F.asc_nulls_last("doc_id"), "h").select("doc_id", "text", "bucket", "extra")
 
 
 def edited(text: str, following: str) -> str:
@@ -132,22 +168,20 @@ def edited(text: str, following: str) -> str:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like the edited and the next document's fingerprints are to it.
 
-    Equal ids are ordered by their text. A single document is its own next.
+    Equal ids are ordered by a hash of their text, null ids come last. A single document is its own next.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
-        held, bucket, closed = None, None, False
+        held, bucket = None, None
         for batch in batches:
             out: list[list] = [[] for _ in names]
             kinds = batch.schema.field(0).type
             for k in range(0, batch.num_rows, 512):
-                for name, text, at, extra in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns), strict=True):
+                for name, text, at in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns[:3]), strict=True):
                     if at != bucket:
-                        held, bucket, closed = None, at, False
-                    if closed:  # more rows with the id of the first
-                        continue
+                        held, bucket = None, at
                     mark = fingerprint(text)
                     if held:
                         own_name, own_text, own = held
@@ -155,7 +189,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                         changed_mark = fingerprint(changed)
                         for column, value in zip(out, (own_name, len(own_text), hashlib.sha256(changed.encode()).hexdigest(), str(own), str(changed_mark), own.likeness(changed_mark), own.likeness(mark)), strict=True):
                             column.append(value)
-                    held, closed = (name, text, mark), extra == 1
+                    held = (name, text, mark)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], kinds), pa.array(out[1], pa.int64()), *(pa.array(c, pa.string()) for c in out[2:5]), *(pa.array(c, pa.float64()) for c in out[5:])], names)
 
