@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int)
     spark, held_at = docs.sparkSession, new_folder(docs.sparkSession, "token-ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = tokenize(docs, vocabulary, end_id)
-    made.write.option("compression", "none").parquet(held_at)
+    made.write.option("compression", "zstd").parquet(held_at)
     rows = spark.read.schema(made.schema).parquet(held_at)
     found = sorted(frequencies(rows).collect(), key=lambda r: (-r["n"], r["id"]))
     spark.createDataFrame([(r["id"], k) for k, r in enumerate(found)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
