@@ -5,8 +5,9 @@ with an input and an output, a list of messages with a role and a content (or a
 "value"), one row for each turn. Every nested field of a layout has a path ("messages[].role");
 a layout's fingerprint is the set of the hashes of its paths. LAYOUTS says for each fingerprint
 how its fields become turns. The layout with the most paths among those whose paths are all
-there is taken; other fields, also of clashing names, are not looked at. `turns_of` reads the
-paths from a DataFrame's schema, `turns_of_json` from each row of a JSON column.
+there is taken, of several the first in LAYOUTS; other fields, also of clashing names, are not
+looked at. `turn_rows` reads the paths from a DataFrame's schema and refuses one that fits no
+layout; `turns_of_json` reads them from each row of a JSON column.
 
 Template. A turn is "<turn:ROLE>", a line break, the text, a line break, "</turn>" and a line
 break. In roles and texts a backslash is written as "\\e" and "<" as "\\l", in roles also ">" as
@@ -37,6 +38,7 @@ LAYOUTS: dict[str, dict] = {
     "messages": {"list": "messages", "role": "role", "text": "content"},
     "conversations": {"list": "conversations", "role": "from", "text": "value"},
     "turn_rows": {"rows": ("conv_id", "turn", "role", "text")},
+    "message_rows": {"rows": ("thread_id", "position", "author", "body")},
 }
 
 #: Other names of roles.
@@ -83,8 +85,8 @@ def fingerprint(layout: dict) -> frozenset[int]:
 def layout_of(found: list[str]) -> str | None:
     """The layout for the paths of a schema."""
     hashes = set(map(path_hash, found))
-    fits = [(len(mark), name) for name, layout in LAYOUTS.items() if (mark := fingerprint(layout)) <= hashes]
-    return max(fits)[1] if fits else None
+    fits = [(len(mark), -k, name) for k, (name, layout) in enumerate(LAYOUTS.items()) if (mark := fingerprint(layout)) <= hashes]
+    return max(fits)[2] if fits else None
 
 
 def turn(role: Column, text: Column) -> Column:
@@ -129,9 +131,9 @@ def turns_of_json(df: DataFrame, key: str, json: str) -> DataFrame:
 
     inner = [inner_paths(x["list"]) for x in LAYOUTS.values() if "list" in x]
     hashes = F.transform(F.concat(keys, *inner), lambda p: F.xxhash64(p))
-    layouts = sorted(((n, x) for n, x in LAYOUTS.items() if "rows" not in x), key=lambda x: (len(paths(x[1])), x[0]))
+    layouts = sorted(((n, x) for n, x in reversed(LAYOUTS.items()) if "rows" not in x), key=lambda x: len(paths(x[1])))
     chosen, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, layout in layouts:  # those with more paths last: they win
+    for name, layout in layouts:  # those with more paths last, and of equals the first listed: they win
         fits = F.size(F.array_intersect(F.col("_hashes"), F.array(*map(F.lit, sorted(fingerprint(layout)))))) == len(fingerprint(layout))
         if "list" in layout:
             kind = T.StructType([T.StructField(layout["list"], T.ArrayType(T.StructType([T.StructField(layout[k], T.StringType()) for k in ("role", "text")])))])
@@ -157,15 +159,21 @@ def rows_of(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return turns.select(key, F.posexplode("turns").alias("turn", "t")).select(key, "turn", "t.role", "t.text")
 
 
-def format_rows(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, n_turns, formatted, loss_spans: one row a conversation, from one row a turn.
+def turn_rows(df: DataFrame, key: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role, text: one row for each turn, from a DataFrame in any of the layouts. key: the conversation's column where the layout names none."""
+    name = layout_of(schema_paths(df.schema))
+    if name and "rows" in LAYOUTS[name]:
+        conversation, turn_at, role, text = map(F.col, LAYOUTS[name]["rows"])
+        return df.select(conversation.alias("conv_id"), turn_at.cast("long").alias("turn"), renamed(role).alias("role"), text.alias("text"))
+    return rows_of(turns_of(df, key), key).select(F.col(key).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+
+
+def format_rows(given: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key, n_turns, formatted, loss_spans: one row a conversation, from the rows of turn_rows().
 
     Positions are running sums over the turns, so long conversations take time in proportion to
     their length. All turns of one conversation meet in one task, since its text is one value.
     """
-    name = layout_of(schema_paths(rows.schema))
-    columns = LAYOUTS[name]["rows"] if name and "rows" in LAYOUTS[name] else (key, "turn", "role", "text")
-    given = rows.select(*(F.col(c).alias(n) for c, n in zip(columns, (key, "turn", "role", "text"), strict=True)))
     head, body, tail = F.concat(F.lit("<turn:"), escaped(F.col("role"), True), F.lit(">\n")), escaped(F.col("text")), F.lit("\n</turn>\n")
     marked = given.select(key, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     marked = marked.select(key, "turn", "role", "text", F.concat(head, body, tail).alias("piece"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"))

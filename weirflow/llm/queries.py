@@ -42,7 +42,7 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = chat.turn_rows(table(spark, sf_dir, "conversations"))
     key, text = HOSTILE
     hostile = spark.range(2).select(F.lit(key).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     out = chat.format_rows(rows.unionByName(hostile))
