@@ -147,6 +147,14 @@ def test_fingerprints_add_up():
     assert fingerprints.fingerprint("a\na") != fingerprints.fingerprint("a") and fingerprints.fingerprint("").likeness(fingerprints.fingerprint("")) == 1
 
 
+def word_hash(word):
+    """A word's hash, a byte at a time."""
+    h = 0
+    for b in reversed(word.encode()):
+        h = (h * int(shingles.BASE) + int(shingles.LETTERS[b])) % 2**64
+    return int(shingles.mixed(np.array([h], np.uint64))[0])
+
+
 def plain_fingerprint(text):
     """A text's lanes, a paragraph and a run of words at a time."""
     mask, equal, like = (1 << 64) - 1, [0] * fingerprints.EQUAL, [0] * fingerprints.LIKE
@@ -157,7 +165,7 @@ def plain_fingerprint(text):
         for at in range(max(1, len(words) - 4)) if words else ():
             run = 0
             for k in range(5):
-                run = (run * 0x9E3779B97F4A7C15 + (shingles.xxhash.xxh64_intdigest(words[at + k]) if at + k < len(words) else 0)) & mask
+                run = (run * 0x9E3779B97F4A7C15 + (word_hash(words[at + k]) if at + k < len(words) else 0)) & mask
             run = ((run ^ run >> 31) * 0xBF58476D1CE4E5B9) & mask
             like[run >> 56] += 1 if run >> 55 & 1 else -1
     return equal, like
@@ -274,38 +282,76 @@ def test_linear_time_on_long_runs():
     assert time.time() - began < 40 and took[1] < 12 * took[0]
 
 
-def test_line_dedup_against_brute_force(docs):
+def line_bounds(text):
+    """Where the lines of a text that have words begin and end."""
+    out, at = [], 0
+    for row in text.split("\n"):
+        place = 0
+        while place < len(row):
+            end = re.compile(r"[.!?]\s+").search(row, place)
+            stop = end.end() if end else len(row)
+            if not row[place:stop].isspace():
+                out.append((at + place, at + stop))
+            place = stop
+        at += len(row) + 1
+    return out
+
+
+def texts_of_white_space():
+    r = random.Random(1)
+    return ["".join(r.choice("ab. \n\t!?é\u2003\u3000\x85\x1c\xa0") for _ in range(r.randint(0, 30))) for _ in range(3000)] + [None, "", "x" * 3000]
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 7])
+def test_words(monkeypatch, at_once):
+    monkeypatch.setattr(shingles, "AT_ONCE", at_once)
+    monkeypatch.setattr(shingles, "AHEAD", shingles.powers(shingles.BASE, at_once + 1))
+    monkeypatch.setattr(shingles, "BACK", shingles.powers(shingles.INVERSE, at_once + 1))
+    rows = texts_of_white_space()
+    words = shingles.words_of(pa.array(rows))
+    ends, sets = np.cumsum(words.counts), shingles.shingles_of(words)
+    for text, n, e, own in zip(rows, words.counts, ends, sets, strict=True):
+        said = (text or "").split()
+        hashes = [word_hash(w) for w in said]
+        assert words.hashes[e - n : e].tolist() == hashes and words.line_ends[e - n : e].sum() == len(line_bounds(text or ""))
+        runs = {tuple(hashes[a : a + 5]) for a in range(max(1, n - 4))} if n else set()
+        assert len(own) == len(runs)
+        want = set()
+        for run in runs:
+            h = len(run)
+            for x in run:
+                h = (h * int(shingles.BASE) + x) % 2**64
+            want.add(int(shingles.mixed(np.array([h], np.uint64))[0]))
+        assert set(own.tolist()) == want
+
+
+def test_whole_lines_against_brute_force(docs):
     rows = sorted(lines.dedup(docs).collect(), key=lambda r: r.doc_id)
     texts = {r.doc_id: r.text for r in docs.collect()}
     seen: dict = {}
     for r in rows:
         text = texts[r.doc_id]
-        h, words, starts = lines.lines(text)
-        bounds = [0, *starts[1:].tolist(), len(text)]
+        bounds = line_bounds(text)
+        h, words = [" ".join(text[a:b].split()) for a, b in bounds], [len(text[a:b].split()) for a, b in bounds]
+        borders = [0, *(a for a, _ in bounds[1:]), len(text)]
         cuts = [tuple(map(int, x.split(":"))) for x in r.cut.split(",")] if r.cut else []
-        gone = [any(a <= bounds[k] and bounds[k + 1] <= b for a, b in cuts) for k in range(len(h))]
+        gone = [any(a <= borders[k] and borders[k + 1] <= b for a, b in cuts) for k in range(len(h))]
         left, at = [], 0
         for a, b in cuts:
             left.append(text[at:a])
             at = b
         assert r.text == "".join(left) + text[at:] and r.n_cut == sum(gone) and r.n_lines == len(h)
-        total = np.concatenate([[0], np.cumsum(words)])
+        total, had = np.concatenate([[0], np.cumsum(words)]), [False] * len(h)
         for a in range(len(h)):
-            e = int(np.searchsorted(total, total[a] + lines.FOUND))
-            if e <= len(h):
-                key = tuple(h[a:e].tolist())
-                if seen.setdefault(key, (r.doc_id, a)) < (r.doc_id, a):
-                    assert all(gone[a:e])
-        # whatever is cut stands before, in a run of the same lines
-        for a, b in cuts:
-            some = text[a:b].split()
-            assert len(some) >= lines.RUN
-    first = {}
-    for r in rows:
-        for line in set(lines.lines(r.text)[0].tolist()) if r.text else ():
-            first.setdefault(line, r.doc_id)
-    for i, text in texts.items():
-        assert all(x in first for x in lines.lines(text)[0].tolist()), i  # no line is lost from the corpus
+            for e in range(a + 1, len(h) + 1):
+                if total[e] - total[a] >= lines.RUN:
+                    # the shortest runs with enough words, from each line on and up to each line
+                    if total[e - 1] - total[a] < lines.RUN or total[e] - total[a + 1] < lines.RUN:
+                        if seen.setdefault(tuple(h[a:e]), (r.doc_id, a)) < (r.doc_id, a):
+                            had[a:e] = [True] * (e - a)
+                    if total[e - 1] - total[a] >= lines.RUN and total[e] - total[a + 1] >= lines.RUN:
+                        break
+        assert gone == had, r.doc_id  # what stood before goes, and nothing else
 
 
 def test_line_dedup_of_odd_tables(spark, edge):

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,6 +56,16 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def ranges(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about most bytes together, at least one text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(size, most + (size[first - 1] if first else 0), "right")))
+        yield first, last
+        first = last
+
+
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow from one that turns a batch into a batch, of so many rows at a time."""
 

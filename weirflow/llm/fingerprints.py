@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
-from .shingles import SHINGLE, word_hashes
+from .common import parts, ranges
+from .shingles import SHINGLE, words_of
 
 EQUAL, LIKE = 8, 256
+#: Bytes of texts that are fingerprinted at a time.
+AT_A_TIME = 1 << 20
 
 
 class Fingerprint:
@@ -59,44 +61,53 @@ class Fingerprint:
         return cls(np.frombuffer(raw[: 8 * EQUAL], "<u8").astype(np.uint64), np.frombuffer(raw[8 * EQUAL :], "<i4").astype(np.int32))
 
     def likeness(self, other: Fingerprint) -> float:
-        if self == other:
-            return 1.0
-        a, b = self.like.astype(np.float64), other.like.astype(np.float64)
-        norm = np.sqrt((a @ a) * (b @ b))
-        return float(min(1.0, max(0.0, (a @ b) / norm))) if norm else 0.0
+        return float(likenesses(self.equal[None], self.like[None], other.equal[None], other.like[None])[0])
 
 
-def fingerprint(text: str) -> Fingerprint:
-    """The sum of the vectors of the text's paragraphs."""
-    if not text:
-        return Fingerprint()
-    paragraphs = text.split("\n")
+def likenesses(equal: np.ndarray, like: np.ndarray, other_equal: np.ndarray, other_like: np.ndarray) -> np.ndarray:
+    """How like the fingerprints of rows are, 0 to 1."""
+    same = (equal == other_equal).all(1) & (like == other_like).all(1)
+    a, b = like.astype(np.float64), other_like.astype(np.float64)
+    norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    cosine = np.clip((a * b).sum(1) / np.where(norm == 0, 1, norm), 0, 1)
+    return np.where(same, 1.0, np.where(norm == 0, 0.0, cosine))
+
+
+def lanes(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """EQUAL and LIKE lanes of several texts: the sums of the vectors of their paragraphs."""
+    paragraphs = [text.split("\n") if text else [] for text in rows]
+    flat = [p for own in paragraphs for p in own]
+    of = np.repeat(np.arange(len(rows)), [len(own) for own in paragraphs])
     digest = hashlib.blake2b
-    equal = np.frombuffer(b"".join(digest(p.encode(), digest_size=8 * EQUAL).digest() for p in paragraphs), "<u8").reshape(-1, EQUAL).sum(0, dtype=np.uint64)
-    words, sizes = [], []
-    for p in paragraphs:
-        own = p.split()
-        words += own
-        sizes.append(len(own))
-    if not words:
-        return Fingerprint(equal)
-    h, size = word_hashes(words), np.asarray(sizes)
+    each = np.frombuffer(b"".join(digest(p.encode(), digest_size=8 * EQUAL).digest() for p in flat), "<u8").reshape(-1, EQUAL)
+    equal, like = np.zeros((len(rows), EQUAL), np.uint64), np.zeros((len(rows), LIKE), np.int32)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    if len(first):
+        equal[of[first]] = np.add.reduceat(each, first, dtype=np.uint64)
+    words = words_of(pa.array(flat, pa.large_string()))
+    h, size = words.hashes, words.counts
+    n = len(h)
+    if not n:
+        return equal, like
     # a running hash of up to SHINGLE words, which stops at the paragraph's end
     ends = np.repeat(np.cumsum(size), size)
-    first = np.arange(len(h))
-    run = np.zeros(len(h), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            inside = first + k < ends
-            run = run * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(first + k, len(h) - 1)], np.uint64(0))
-        run ^= run >> np.uint64(31)
-        run *= np.uint64(0xBF58476D1CE4E5B9)
-    starts = ends - np.repeat(size, size)
-    whole = (first + SHINGLE <= ends) | (first == starts)
-    run = run[whole]
+    at, run = np.arange(n), np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + np.where(at + k < ends, np.concatenate([h[k:], np.zeros(min(k, n), np.uint64)]), np.uint64(0))
+    run ^= run >> np.uint64(31)
+    run *= np.uint64(0xBF58476D1CE4E5B9)
+    whole = (at + SHINGLE <= ends) | (at == ends - np.repeat(size, size))
+    run, owner = run[whole], np.repeat(of, size)[whole]
     lane = (run >> np.uint64(56)).astype(np.int64)
     sign = ((run >> np.uint64(55)) & np.uint64(1)).astype(np.float64) * 2 - 1
-    return Fingerprint(equal, np.bincount(lane, sign, LIKE).astype(np.int64).astype(np.int32))
+    like += np.bincount(owner * LIKE + lane, sign, like.size).astype(np.int64).astype(np.int32).reshape(like.shape)
+    return equal, like
+
+
+def fingerprint(text: str) -> Fingerprint:
+    """The sum of the vectors of the text's paragraphs."""
+    equal, like = lanes([text])
+    return Fingerprint(equal[0], like[0])
 
 
 def borders(docs: DataFrame, buckets: int) -> tuple[list[float], dict[float, int]]:
@@ -174,24 +185,31 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
-        held, bucket = None, None
+        held = None  # the last row so far, which waits for its next: name, text, bucket, lanes
         for batch in batches:
-            out: list[list] = [[] for _ in names]
             kinds = batch.schema.field(0).type
-            for k in range(0, batch.num_rows, 512):
-                for name, text, at in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns[:3]), strict=True):
-                    if at != bucket:
-                        held, bucket = None, at
-                    mark = fingerprint(text)
-                    if held:
-                        own_name, own_text, own = held
-                        changed = edited(own_text, text)
-                        changed_mark = fingerprint(changed)
-                        for column, value in zip(out, (own_name, len(own_text), hashlib.sha256(changed.encode()).hexdigest(), str(own), str(changed_mark), own.likeness(changed_mark), own.likeness(mark)), strict=True):
-                            column.append(value)
-                    held = (name, text, mark)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], kinds), pa.array(out[1], pa.int64()), *(pa.array(c, pa.string()) for c in out[2:5]), *(pa.array(c, pa.float64()) for c in out[5:])], names)
+            for first, last in ranges(batch.column(1), AT_A_TIME):
+                given, rows, bucket = (c.to_pylist() for c in batch.slice(first, last - first).columns[:3])
+                equal, like = lanes(rows)
+                if held:
+                    given, rows, bucket = [held[0], *given], [held[1], *rows], [held[2], *bucket]
+                    equal, like = np.concatenate([held[3], equal]), np.concatenate([held[4], like])
+                held = given[-1], rows[-1], bucket[-1], equal[-1:], like[-1:]
+                at = np.flatnonzero(np.asarray(bucket)[:-1] == np.asarray(bucket)[1:])
+                changed = [edited(rows[k], rows[k + 1]) for k in at.tolist()]
+                if not changed:
+                    continue
+                new_equal, new_like = lanes(changed)
+                columns = [
+                    pa.array([given[k] for k in at], kinds),
+                    pa.array([len(rows[k]) for k in at], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+                    pa.array([str(Fingerprint(equal[k], like[k])) for k in at]),
+                    pa.array([str(Fingerprint(a, b)) for a, b in zip(new_equal, new_like, strict=True)]),
+                    pa.array(likenesses(equal[at], like[at], new_equal, new_like)),
+                    pa.array(likenesses(equal[at], like[at], equal[at + 1], like[at + 1])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return with_next(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

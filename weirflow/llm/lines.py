@@ -30,87 +30,38 @@ queries and the pipeline set it to False.
 from __future__ import annotations
 
 import re
-import uuid
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import by_batch, parts, settle, shared_dir, texts
-from .shingles import mixed, word_hashes
+from .common import by_batch, new_folder, parts, ranges, settle
+from .shingles import BASE, INVERSE, Words, mixed, powers, words_of
 
 RUN = 30
-#: Words that were found for certain when whole lines were matched; all runs of RUN words are now.
-FOUND = 50
 #: Words whose hash can be a window's mark.
 GRAM = 10
-#: Characters that are hashed at a time.
+#: Bytes that are hashed at a time.
 AT_A_TIME = 1 << 21
 #: Bits of the filter of texts that are read again, at most.
 BITS = 1 << 27
 
-SENTENCE_END = re.compile(r"[.!?]\s+")
 WORD = re.compile(r"\S+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def line_bounds(text: str) -> list[tuple[int, int]]:
-    """Where the lines of a text that have words begin and end."""
-    out, at = [], 0
-    for row in text.split("\n"):
-        place = 0
-        while place < len(row):
-            end = SENTENCE_END.search(row, place)
-            stop = end.end() if end else len(row)
-            if not row[place:stop].isspace():
-                out.append((at + place, at + stop))
-            place = stop
-        at += len(row) + 1
-    return out
-
-
-def lines(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the lines of a text, their numbers of words, and where they start."""
-    bounds = line_bounds(text)
-    own = [text[a:b].split() for a, b in bounds]
-    hashes = [xxhash.xxh64_intdigest(" ".join(words)) for words in own]
-    return np.asarray(hashes, np.uint64), np.asarray([*map(len, own)], np.int64), np.asarray([a for a, _ in bounds], np.int64)
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def pieces(rows: list[str]):
-    """Ranges of rows with about AT_A_TIME characters together."""
-    first, held = 0, 0
-    for k, text in enumerate(rows):
-        held += len(text)
-        if held >= AT_A_TIME:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(rows):
-        yield first, len(rows)
-
-
-class Words:
+class Runs:
     """The words of some texts, with the hash of any run of them. With whole_lines, a word's hash also tells whether it begins or ends a line."""
 
-    def __init__(self, rows: list[str], whole_lines: bool = False):
-        split = [text.split() for text in rows]
-        self.counts = np.fromiter(map(len, split), np.int64, len(split))
+    def __init__(self, rows: pa.Array, whole_lines: bool = False):
+        words = words_of(rows)
+        self.counts, h = words.counts, words.hashes
         self.starts = np.cumsum(self.counts) - self.counts
-        self.n = int(self.counts.sum())
-        h = word_hashes([*chain.from_iterable(split)])
-        self.ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *(lines(text)[1] for text in rows)])) if whole_lines else None
+        self.n = len(h)
+        self.ends = np.flatnonzero(words.line_ends) + 1 if whole_lines else None
         if whole_lines and self.n:
+            h = h.copy()
             h[np.concatenate([[0], self.ends[:-1]])] ^= BASE
             h[self.ends - 1] ^= INVERSE
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(BASE, self.n), dtype=np.uint64)])
@@ -177,15 +128,15 @@ def cut_words(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[i
     return "".join(out), spans
 
 
-def lines_within(cuts: list[tuple[int, int]], words: np.ndarray) -> int:
-    """How many lines are cut whole."""
-    total = np.concatenate([[0], np.cumsum(words)])
+def lines_within(cuts: list[tuple[int, int]], ends: np.ndarray) -> int:
+    """How many lines are cut whole. ends: the words after which lines end."""
+    total = np.concatenate([[0], ends])
     return sum(max(0, int(np.searchsorted(total, b, "right")) - 1 - int(np.searchsorted(total, a))) for a, b in cuts)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder as Parquet, which takes less room there than settle's rows."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "lines")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -208,6 +159,25 @@ def filter_of(keys: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
+def maybe(bits: np.ndarray, f=None, there: bool = True):
+    """A function for mapInArrow that leaves the rows (d and h first) that may be in a filter, or those that aren't, and applies f to them."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(bits)
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k = bits_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), 8 * len(shared.value))
+        found = (shared.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
+        some = batch.filter(pa.array(found if there else ~found))
+        return f(some) if f else some
+
+    return by_batch(own)
+
+
+def line_counts(words: Words) -> np.ndarray:
+    """The number of lines with words of each text."""
+    total, ends = np.concatenate([[0], np.cumsum(words.line_ends)]), np.cumsum(words.counts)
+    return total[ends] - total[ends - words.counts]
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM, whole_lines: bool = True) -> DataFrame:
     """docs with repeated runs cut from the text, and columns n_lines, n_cut (lines cut whole) and cut (spans start:end, in code points of the text as it was)."""
     spark = docs.sparkSession
@@ -215,9 +185,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     place = F.struct("d", "h", "at")
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, out = texts(batch.column(2)), []
-        for a, b in pieces(rows):
-            of, at, n, mark, seg = Words(rows[a:b], whole_lines).segments(run, gram)
+        out = []
+        for a, b in ranges(batch.column(2), AT_A_TIME):
+            of, at, n, mark, seg = Runs(batch.column(2).slice(a, b - a), whole_lines).segments(run, gram)
             take = pa.array(of + a)
             out.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(seg.view(np.int64))], ["d", "h", "at", "n", "mark", "seg"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
@@ -232,9 +202,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     apart = settle(first.join(several, "mark").groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_list(F.struct("at", "n")).alias("segs")))
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, segs, out = texts(batch.column(2)), batch.column(3).to_pylist(), []
-        for a, b in pieces(rows):
-            words = Words(rows[a:b], whole_lines)
+        segs, out = batch.column(3).to_pylist(), []
+        for a, b in ranges(batch.column(2), AT_A_TIME):
+            words = Runs(batch.column(2).slice(a, b - a), whole_lines)
             of = np.repeat(np.arange(b - a), [len(s) for s in segs[a:b]])
             at, n = (np.asarray([s[c] for some in segs[a:b] for s in some], np.int64) for c in ("at", "n"))
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -243,30 +213,37 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
             out.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(words.runs(run)[words.starts[of] + at].view(np.int64))], ["d", "h", "at", "win"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-    bits = spark.sparkContext.broadcast(filter_of(apart))
-
-    def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = bits_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), 8 * len(bits.value))
-        return batch.filter(pa.array((bits.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)))
-
-    few = keyed.mapInArrow(by_batch(maybe), keyed.schema)
+    few = keyed.mapInArrow(maybe(filter_of(apart)), keyed.schema)
     needed = few.join(apart, (F.col("d") == F.col("d0")) & (F.col("h") == F.col("h0"))).select("d", "h", "text", "segs")
     parted = written(needed.mapInArrow(by_batch(windows), "d long, h long, at int, win long"))
     least = settle(parted.groupBy("win").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("win", "f"))
     others = parted.join(least, "win").where(place > F.col("f"))
     cuts = later.select("d", "h", "at", (F.col("at") + F.col("n") + (run - 1)).alias("stop")).unionByName(others.select("d", "h", "at", (F.col("at") + run).alias("stop")))
-    cuts = cuts.groupBy("d", "h").agg(F.collect_set(F.struct("at", "stop")).alias("c"))
-    names = docs.columns
-    kind = [F.lit(None).cast("array<int>").alias(c) for c in ("_at", "_stop")]
-    whole = docs.select(key[0].alias("_d"), key[1].alias("_h"), F.lit(1).alias("_kind"), *kind, *names)
-    told = cuts.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.lit(0).alias("_kind"), F.col("c.at").alias("_at"), F.col("c.stop").alias("_stop"))
-    dealt = whole.unionByName(told, allowMissingColumns=True).repartition(parts(spark), "_d", "_h").sortWithinPartitions("_d", "_h", "_kind")
-    at_text = 5 + names.index(text_col)
+    cuts = settle(cuts.groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_set(F.struct("at", "stop")).alias("c")))
+    # docs' columns by number, so that no name clashes
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    whole, at_text = docs.select(*key, *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))), 2 + docs.columns.index(text_col)
+    out_names = [*docs.columns, "n_lines", "n_cut", "cut"]
+    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField("n_lines", LongType()), StructField("n_cut", LongType()), StructField("cut", StringType())])
+    bits = filter_of(cuts)
+
+    def as_it_is(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Documents of which nothing is cut."""
+        n, text = len(batch), batch.column(at_text)
+        lines = [line_counts(words_of(text.slice(a, b - a))) for a, b in ranges(text, AT_A_TIME)]
+        return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.concatenate([np.zeros(0, np.int64), *lines])), pa.array(np.zeros(n, np.int64)), pa.array([""] * n, pa.string())], out_names)
+
+    # most documents aren't cut and stay where they are; those that may be are dealt with their cuts
+    kept = whole.mapInArrow(maybe(bits, as_it_is, False), schema)
+    told = cuts.select(F.col("d0").alias("d"), F.col("h0").alias("h"), F.lit(0).alias("kind"), F.col("c.at").alias("at"), F.col("c.stop").alias("stop"))
+    some = whole.mapInArrow(maybe(bits), whole.schema).withColumn("kind", F.lit(1))
+    dealt = some.unionByName(told, allowMissingColumns=True).repartition(parts(spark), "d", "h").sortWithinPartitions("d", "h", "kind").select("d", "h", *names, "kind", "at", "stop")
 
     def cut(batches):
         last, gone = None, []
         for batch in batches:
-            d, h, kind, at, stop = (batch.column(k).to_pylist() for k in range(5))
+            d, h = (batch.column(k).to_pylist() for k in range(2))
+            kind, at, stop = (batch.column(2 + len(names) + k).to_pylist() for k in range(3))
             rows, new, counts, gone_counts, spans = [], {}, [], [], []
             for k in range(batch.num_rows):
                 if (d[k], h[k]) != last:
@@ -275,23 +252,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
                     gone = joined(list(zip(at[k], stop[k], strict=True)))
                     continue
                 rows.append(k)
-                text, said, n, m = batch.column(at_text)[k].as_py(), "", 0, 0
-                if text:
-                    bounds = line_bounds(text)
-                    n = len(bounds)
-                    if gone:
-                        words = np.asarray([len(text[a:b].split()) for a, b in bounds], np.int64)
-                        new[len(rows) - 1], cuts = cut_words(text, gone)
-                        m, said = lines_within(gone, words), ",".join(f"{a}:{b}" for a, b in cuts)
-                counts.append(n)
+                words, said, m = words_of(batch.column(at_text).slice(k, 1)), "", 0
+                if gone:
+                    new[len(rows) - 1], cuts = cut_words(batch.column(at_text)[k].as_py(), gone)
+                    m, said = lines_within(gone, np.flatnonzero(words.line_ends) + 1), ",".join(f"{a}:{b}" for a, b in cuts)
+                counts.append(int(words.line_ends.sum()))
                 gone_counts.append(m)
                 spans.append(said)
             if rows:
-                columns = [batch.column(5 + k).take(pa.array(rows)) for k in range(len(names))]
+                columns = [batch.column(2 + k).take(pa.array(rows)) for k in range(len(names))]
                 if new:
-                    was = columns[at_text - 5].to_pylist()
-                    columns[at_text - 5] = pa.array([new.get(k, t) for k, t in enumerate(was)], columns[at_text - 5].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(spans, pa.string())], [*names, "n_lines", "n_cut", "cut"])
+                    was = columns[at_text - 2].to_pylist()
+                    columns[at_text - 2] = pa.array([new.get(k, t) for k, t in enumerate(was)], columns[at_text - 2].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(spans, pa.string())], out_names)
 
-    more = [StructField("n_lines", LongType()), StructField("n_cut", LongType()), StructField("cut", StringType())]
-    return dealt.mapInArrow(cut, StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), *more]))
+    return kept.unionByName(dealt.mapInArrow(cut, schema))

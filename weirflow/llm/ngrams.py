@@ -28,17 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, groups, parts, settle, texts
+from .common import by_batch, groups, parts, ranges, settle
 from .components import components
 from .embeddings import hub_of
-from .shingles import SHINGLE, mixed, shingle_hashes
+from .shingles import SHINGLE, mixed, shingles_of, words_of
 
 THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 5
 BLOCK = 256
-#: Different n-grams that are compared at a time.
-COLUMNS = 4096
+#: Different n-grams that are compared at a time, and bytes of texts that are hashed at a time.
+COLUMNS, AT_A_TIME = 4096, 1 << 21
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -85,6 +85,11 @@ def links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return out
 
 
+def sets_of(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The n-gram sets of texts."""
+    return [s for a, b in ranges(texts, AT_A_TIME) for s in shingles_of(words_of(texts.slice(a, b - a)), shingle)]
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A hash of a row's id and text; null counts as the empty text."""
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
@@ -105,8 +110,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         same, keys = [], []
-        for text in texts(batch.column(1)):
-            s = shingle_hashes(text, shingle)
+        for s in sets_of(batch.column(1), shingle):
             same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             keys.append(band_keys(s, bands, ROWS, by).view(np.int64) if len(s) else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
@@ -143,7 +147,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
                 continue
             t, x, y = (g[c][0].as_py() for c in ("t", "x", "y"))
             rep, weight, own = (g[c].to_numpy() for c in ("rep", "weight", "own"))
-            linked = links([shingle_hashes(s.as_py(), shingle) for s in g["text"]], threshold)
+            linked = links(sets_of(g["text"].combine_chunks(), shingle), threshold)
             if x != y:
                 linked &= own[:, None] != own[None, :]
             a, b = np.nonzero(linked)

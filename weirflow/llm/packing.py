@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import settle
-from .tokens import encoder, ranges
+from .common import ranges, settle
+from .tokens import AT_A_TIME, encoder
 
 WINDOW = 2048
 ROWS_PER_GROUP = 32_768
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
     def cut(batches):
         known = encoder(vocabulary)
         for batch in batches:
-            for first, last in ranges(batch.column(1)):
+            for first, last in ranges(batch.column(1), AT_A_TIME):
                 some = batch.slice(first, last - first)
                 ids, ends = known.encode_all(some.column(1))
                 ids = np.insert(ids, ends, np.uint32(end_id))

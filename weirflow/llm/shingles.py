@@ -1,30 +1,32 @@
-"""Runs of five words, as hashes."""
+"""Words of texts, and runs of five words, as hashes.
+
+A word is a stretch between white space, as str.split() has it. Its hash is a polynomial in its
+bytes modulo 2**64, with a random number for each byte, stirred. So all words of a batch are
+hashed at once, from running sums over the bytes.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 
-#: Words whose hashes a process keeps.
-KEPT = 200_000
-
-
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
+#: Bytes that are hashed at a time, at least a word.
+AT_ONCE = 1 << 20
 
-_words = _Words()
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LETTERS = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words."""
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+#: White space: the bytes, and other characters, which are made spaces first.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+ODD_SPACE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and not (c < 128 and SPACE[c])) + "]"
+LINE_BREAK, SENTENCE_ENDS = 10, np.isin(np.arange(256), list(b".!?"))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -34,14 +36,86 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+AHEAD, BACK = powers(BASE, AT_ONCE + 1), powers(INVERSE, AT_ONCE + 1)
+
+
+def polynomial(letters: np.ndarray) -> np.uint64:
+    """The hash of one word, before it is stirred, a part at a time."""
+    out, by = 0, 1
+    for k in range(0, len(letters), AT_ONCE):
+        part = LETTERS[letters[k : k + AT_ONCE]]
+        out += int((part * AHEAD[: len(part)]).sum(dtype=np.uint64)) * by
+        by = by * pow(int(BASE), len(part), 1 << 64) % (1 << 64)
+    return np.uint64(out % (1 << 64))
+
+
+@dataclass
+class Words:
+    """The words of several texts, one after the other: how many each text has, their hashes, and which of them end a line (before a line break, with the mark of a sentence's end, or with the text)."""
+
+    counts: np.ndarray
+    hashes: np.ndarray
+    line_ends: np.ndarray
+
+
+def words_of(texts: pa.Array) -> Words:
+    """The words of texts (null: none)."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if pc.any(pc.match_substring_regex(texts, ODD_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, ODD_SPACE, " ")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    n = int(offsets[-1] - offsets[0])
+    if not n:
+        return Words(np.zeros(len(texts), np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    space = SPACE[data]
+    begins, ends = np.ones(n, bool), np.ones(n, bool)
+    begins[1:], ends[:-1] = space[:-1], space[1:]
+    begins[offsets[:-1][offsets[:-1] < n]] = True
+    ends[offsets[1:][offsets[1:] > 0] - 1] = True
+    first, last = np.flatnonzero(begins & ~space), np.flatnonzero(ends & ~space) + 1
+    counts = np.diff(np.searchsorted(first, offsets))
+    hashes, k = np.zeros(len(first), np.uint64), 0
+    while k < len(first):
+        stop = int(np.searchsorted(last, first[k] + AT_ONCE, "right"))
+        if stop <= k:
+            hashes[k] = polynomial(data[first[k] : last[k]])
+            k += 1
+            continue
+        part = LETTERS[data[first[k] : last[stop - 1]]]
+        part *= AHEAD[: len(part)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
+        a, b = first[k:stop] - first[k], last[k:stop] - first[k]
+        hashes[k:stop] = (sums[b] - sums[a]) * BACK[a]
+        k = stop
+    line_ends = SENTENCE_ENDS[data[last - 1]]
+    line_ends[np.cumsum(counts)[counts > 0] - 1] = True
+    breaks = np.flatnonzero(data == LINE_BREAK)
+    before = np.searchsorted(last, breaks, "right") - 1
+    line_ends[before[before >= 0]] = True
+    return Words(counts, mixed(hashes), line_ends)
+
+
+def shingles_of(words: Words, size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text, the sorted different hashes of its runs of size words; a text of fewer words is one run, one without words has none."""
+    h, ends = words.hashes, np.cumsum(words.counts)
+    n = len(h)
+    runs = np.zeros(n, np.uint64)
+    left = np.repeat(ends, words.counts) - np.arange(n)  # words from each on to the end of its text
+    runs += np.minimum(left, size).astype(np.uint64)
+    for k in range(size):
+        inside = left > k
+        runs = np.where(inside, runs * BASE + np.concatenate([h[k:], np.zeros(min(k, n), np.uint64)]), runs)
+    runs = mixed(runs)
+    return [np.unique(runs[e - c : max(e - size + 1, e - c + 1)]) if c else runs[:0] for c, e in zip(words.counts.tolist(), ends.tolist(), strict=True)]
+
+
 def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted different hashes of the runs of size words, split at white space; a text of fewer words is one run, one without words has none."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    n = max(1, len(h) - size + 1)
-    run = np.full(n, len(h) if len(h) < size else size, np.uint64)
-    for k in range(min(size, len(h))):
-        run = run * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    return np.unique(mixed(run))
+    return shingles_of(words_of(pa.array([text])), size)[0]

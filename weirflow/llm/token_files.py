@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, new_folder, parts
-from .tokens import encoder, ranges
+from .common import dropped, new_folder, parts, ranges
+from .tokens import AT_A_TIME, encoder
 
 BLOCK_IDS = 1 << 18
 
@@ -73,7 +73,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_i
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for first, last in ranges(batch.column(1)):
+            for first, last in ranges(batch.column(1), AT_A_TIME):
                 some = batch.slice(first, last - first)
                 ids, ends = known.encode_all(some.column(1))
                 ids = np.insert(ids, ends, np.uint32(end_id))

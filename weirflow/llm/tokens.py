@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import ranges
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work to the cores
 
 #: Entries of a table of stretches; when it has more, it becomes the older table, from which what is used again comes back.
@@ -120,7 +122,7 @@ class Encoder:
             out = [self.direct(t.as_py()) if a else next(rest) for t, a in zip(texts, apart.to_pylist(), strict=True)]
             return np.concatenate([NONE, *out]), np.cumsum([len(x) for x in out])
         held, ends, at = [NONE], [], 0
-        for first, last in ranges(texts):
+        for first, last in ranges(texts, AT_A_TIME):
             ids, end = self.some(texts.slice(first, last - first))
             ends.append(end + at)
             held.append(ids)
@@ -132,16 +134,6 @@ class Encoder:
         return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
-def ranges(texts: pa.Array):
-    """Ranges of texts of about AT_A_TIME bytes together, at least one text each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    first = 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(size, AT_A_TIME + (size[first - 1] if first else 0), "right")))
-        yield first, last
-        first = last
-
-
 def split(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return np.split(ids, ends[:-1]) if len(ends) else []
 
