@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.functions import keys
-from weirflow.operators import counters, flows, nat, reassembly, state, verdicts
+from weirflow.operators import counters, flows, match, nat, reassembly, state, verdicts
 from weirflow.sources.packets import packets
 
 A, B, C = 167772161, 3232235521, 167772162
@@ -127,3 +127,59 @@ def test_empty_table(nine):
     none = nine.limit(0)
     assert counters.report(counters.by_ip(none, "src_ip")).first().total == 0
     assert flows.turned(none).count() == flows.tcp_flows(none).count() == nat.table(none).count() == 0
+
+
+def machine(rows):
+    """(prior count, previous number) of each packet of a key, in plain Python."""
+    out, seen = {}, {}
+    for n, _, key in sorted(rows, key=lambda r: (r[1] is not None, r[1], r[0]) if r[1] else (False, datetime.min, r[0])):
+        out[n] = (len(seen.setdefault(key, [])), seen[key][-1] if seen[key] else None)
+        seen[key].append(n)
+    return out
+
+
+def test_state_keeps_columns_and_hot_keys(spark):
+    """Names of the input that operators use themselves, null keys and times, a key with most packets, over many slices."""
+    r = random.Random(7)
+    given = [(n, datetime(2024, 1, 1) + timedelta(seconds=r.randrange(40_000)) if n % 17 else None, None if n % 29 == 0 else (1 if n % 3 else n % 50)) for n in range(2000)]
+    d = spark.createDataFrame([(*x, "p", "l", 1, 2, 3, "f") for x in given], "pkt_id long, ts timestamp, k int, last string, _slice string, part int, v int, total int, found string")
+    want = machine(given)
+    known = state.seen_before(d, ["k"])
+    assert known.columns == [*d.columns, "known"] and {x.pkt_id: x.known for x in known.collect()} == {n: p > 0 for n, (p, _) in want.items()}
+    before = state.previous(d, ["k"], F.col("pkt_id"), "before").collect()
+    assert {x.pkt_id: x.before for x in before} == {n: b for n, (_, b) in want.items()}
+    run = state.running(d, ["k"], F.lit(1), "n").collect()
+    assert {x.pkt_id: x.n for x in run} == {n: p + 1 for n, (p, _) in want.items()} and run[0].last == "p"
+    versions = state.with_generations(d.withColumns({"prior": F.lit("x"), "proto": F.lit(6), "tcp_flags": F.lit(1)}), ["k"])
+    assert {x.pkt_id: x.version for x in versions.collect()} == {n: p for n, (p, _) in want.items()} and "prior" in versions.columns
+    with pytest.raises(ValueError):
+        state.gated(d.withColumn("prior", F.lit(1)), ["k"], "v", 5)
+    once = state.once(d, ["k"], F.col("pkt_id") > 100)
+    assert once.count() == len({k for n, _, k in given if n > 100})
+
+
+def test_reassembly_of_one_long_flow(spark, monkeypatch):
+    monkeypatch.setattr(reassembly, "SLICE", 16)
+    r = random.Random(5)
+    order = sorted(range(1, 900), key=lambda s: s + r.randint(0, 60))
+    given = [("a", s, k + 1) for k, s in enumerate(order)] + [(None, s, k + 1) for k, s in enumerate([3, 1, 2])]
+    d = spark.createDataFrame(given, "flow string, seq int, arrival int").withColumn("most", F.lit(0))
+    arrival = {(f, s): a for f, s, a in given}
+    want = {(f, s): max(arrival[f, t] for t in range(1, s + 1)) for f, s, _ in given}
+    assert {(x.flow, x.seq): x.release for x in reassembly.released(d, ["flow"]).collect()} == want
+    peak = {}
+    for f in ("a", None):
+        spans = [(arrival[k], want[k]) for k in want if k[0] == f and want[k] > arrival[k]]
+        peak[f] = (len(spans), max(sum(a <= t < b for a, b in spans) for t in range(1, 900)))
+    assert {x.flow: (x.n_buffered, x.peak) for x in reassembly.occupancy(d, ["flow"]).collect()} == peak
+
+
+def test_more_rules_than_one_expression_has(spark, monkeypatch):
+    monkeypatch.setattr(match, "RULES_AT_ONCE", 3)
+    rules = spark.createDataFrame([(k, f"w{k} ", None) for k in range(1, 11)], "rule_id int, content string, regex string")
+    d = spark.createDataFrame([(k, " ".join(f"w{j} " for j in range(k, 20))) for k in range(1, 13)], "k int, t string")
+    assert {x.k: x.matched for x in match.first_rule(d, "t", rules).collect()} == {k: k if k <= 10 else None for k in range(1, 13)}
+
+
+def test_rate_limit(nine):
+    assert rows(state.limited(nine, 2, 4), "pkt_id") == [(1,), (2,), (5,), (6,), (9,)]

@@ -1,5 +1,6 @@
 """Files of rules and signatures, frames as bytes, options, generators."""
 
+import random
 import struct
 
 import pytest
@@ -79,6 +80,40 @@ def test_options(spark):
     assert text == "S4:64:1:60:M1460,S,T,N,W7:."
 
 
+def read_options(data):
+    """Numbers of the options in order, mss, wscale, time stamp and quirk bits, a byte after the other."""
+    opts, mss, wscale, tstamp, quirks, at = [], 0, 0, 0, 0, 0
+    while at < len(data):
+        kind, rest = data[at], data[at + 1 :]
+        size = {0: 0, 1: 0, 2: 3, 3: 2, 4: 1, 8: 9}.get(kind, rest[0] - 1 if rest else -1)
+        if size < 0 or size > min(32, len(rest)) or len(opts) == 15:
+            quirks |= 512
+            break
+        if kind == 0 and rest:
+            quirks |= 1
+        elif kind == 2:
+            mss = int.from_bytes(rest[1:3], "big")
+        elif kind == 3:
+            wscale = rest[1]
+        elif kind == 8:
+            tstamp = int.from_bytes(rest[1:5], "big")
+            quirks |= 64 if any(rest[5:9]) else 0
+        opts.append(kind)
+        at += 1 + size
+    return opts, mss, wscale, tstamp, quirks
+
+
+def test_options_byte_by_byte(spark):
+    r = random.Random(4)
+    raw = [bytes(r.choice([0, 1, 2, 3, 4, 8, 4, 10, 2, 3, r.randrange(256)]) for _ in range(r.randint(0, 40))) for _ in range(600)] + [b"\x01" * 20]
+    d = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(raw)] + [(-1, None)], "k int, raw binary").select("k", tcp_options.decode_options("raw").alias("o")).select("k", "o.*")
+    assert "Python" not in d._jdf.queryExecution().executedPlan().toString()
+    got = {x.k: (x.opts, x.mss, x.wscale, x.tstamp, x.quirks) for x in d.collect()}
+    assert got.pop(-1) == ([], 0, 0, 0, 0) and all(got[k] == read_options(x) for k, x in enumerate(raw))
+    text = d.where("k = -1").withColumns({"wsize": F.lit(7), "ttl": F.lit(64), "df": F.lit(1), "size": F.lit(60)})
+    assert text.select(tcp_options.fingerprint_text("ack").alias("t")).first().t == "7:64:1:*:E,E,E:."
+
+
 def test_quirks(spark):
     d = spark.createDataFrame([(18, 0, 0, 0), (20, 5, 7, 1)], "tcp_flags int, seq long, ack long, urg int")
     assert [r.q for r in d.select(flags.quirks(flags.SYN).alias("q")).collect()] == [2048 | 4096, 32 | 8]

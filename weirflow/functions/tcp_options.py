@@ -2,55 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..sources.rules import QUIRKS
 
-OPTIONS_SCHEMA = T.StructType([T.StructField("opts", T.ArrayType(T.IntegerType())), *(T.StructField(n, T.IntegerType()) for n in ("mss", "wscale")), T.StructField("tstamp", T.LongType()), T.StructField("quirks", T.IntegerType())])
 MOST = 15  # options of a header
-#: How many bytes follow an option's number, its length byte included; others say it themselves.
+#: How many bytes follow an option's number, its length byte included; others say it themselves.
 SIZES = {0: 0, 1: 0, 2: 3, 3: 2, 4: 1, 8: 9}
+#: Fixed value: how many options the text of an ACK shows; where there are fewer, the rest read as end of options.
+ACK_SHOWN = 3
+#: The order in which quirks are written.
+MARKS = "KQ0PZIUXATFDNL!"
+STATE = "struct<next:int,broken:boolean,opts:array<int>,mss:int,wscale:int,tstamp:bigint,quirks:int>"
+
+
+def decode_options(raw: str | Column) -> Column:
+    """opts (numbers in order), mss, wscale, tstamp and quirk bits of the bytes of options. Reading stops at what is broken, which is a quirk.
+
+    One pass over the bytes, whose state holds where the next option begins.
+    """
+    data = F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.unhex(F.lit("")))
+    n = F.length(data)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    numbers = F.transform(places, lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int"))
+
+    def step(s: Column, each: Column) -> Column:
+        i, b = each["i"], each["b"]
+        kind, left = F.get(b, i), F.size(b) - i - 1
+        said = F.when(left > 0, F.get(b, i + 1) - 1).otherwise(-1)
+        size = said
+        for k, v in SIZES.items():
+            size = F.when(kind == k, v).otherwise(size)
+
+        def number(first: int, count: int) -> Column:
+            out = F.lit(0).cast("bigint")
+            for k in range(count):
+                out = out * 256 + F.coalesce(F.get(b, i + first + k), F.lit(0))
+            return out
 
+        broken = (size < 0) | (size > F.least(F.lit(32), left)) | (F.size(s["opts"]) == MOST)
+        late = F.when((kind == 0) & (left > 0), QUIRKS["P"]).when((kind == 8) & (number(6, 4) != 0), QUIRKS["T"]).otherwise(0)
+        stopped = F.struct(s["next"].alias("next"), F.lit(True).alias("broken"), s["opts"].alias("opts"), s["mss"].alias("mss"), s["wscale"].alias("wscale"), s["tstamp"].alias("tstamp"), s["quirks"].bitwiseOR(F.lit(QUIRKS["!"])).alias("quirks"))
+        taken = F.struct(
+            (i + 1 + size).alias("next"), F.lit(False).alias("broken"), F.concat(s["opts"], F.array(kind)).alias("opts"), F.when(kind == 2, number(2, 2).cast("int")).otherwise(s["mss"]).alias("mss"),
+            F.when(kind == 3, number(2, 1).cast("int")).otherwise(s["wscale"]).alias("wscale"), F.when(kind == 8, number(2, 4)).otherwise(s["tstamp"]).alias("tstamp"), s["quirks"].bitwiseOR(late).alias("quirks"),
+        )
+        return F.when(s["broken"] | (i != s["next"]), s).when(broken, stopped.cast(STATE)).otherwise(taken.cast(STATE))
 
-def read_options(raw: bytes | None) -> tuple[list[int], int, int, int, int]:
-    """Numbers of the options in order, mss, wscale, time stamp and quirk bits. Reading stops at what is broken, which is a quirk."""
-    opts, mss, wscale, tstamp, quirks, at = [], 0, 0, 0, 0, 0
-    data = raw or b""
-    while at < len(data):
-        kind = data[at]
-        rest = data[at + 1 :]
-        size = SIZES.get(kind)
-        if size is None:
-            size = rest[0] - 1 if rest else -1
-        if size < 0 or size > min(32, len(rest)) or len(opts) == MOST:
-            quirks |= QUIRKS["!"]
-            break
-        if kind == 0 and rest:
-            quirks |= QUIRKS["P"]
-        elif kind == 2:
-            mss = int.from_bytes(rest[1:3], "big")
-        elif kind == 3:
-            wscale = rest[1]
-        elif kind == 8:
-            tstamp = int.from_bytes(rest[1:5], "big")
-            if any(rest[5:9]):
-                quirks |= QUIRKS["T"]
-        opts.append(kind)
-        at += 1 + size
-    return opts, mss, wscale, tstamp, quirks
-
-
-@pandas_udf(OPTIONS_SCHEMA)
-def decode_options(raw: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Options depend on the lengths before them, which no built-in function follows; so this is an Arrow function."""
-    for some in raw:
-        yield pd.DataFrame([read_options(x) for x in some], columns=["opts", "mss", "wscale", "tstamp", "quirks"])
+    empty = F.struct(F.lit(0).alias("next"), F.lit(False).alias("broken"), F.array().cast("array<int>").alias("opts"), F.lit(0).alias("mss"), F.lit(0).alias("wscale"), F.lit(0).cast("bigint").alias("tstamp"), F.lit(0).alias("quirks")).cast(STATE)
+    # the numbers go along with each place, so that they are made once
+    each = F.flatten(F.transform(F.array(numbers), lambda b: F.transform(places, lambda i: F.struct(i.alias("i"), b.alias("b")))))
+    return F.aggregate(each, empty, step, lambda s: F.struct(s["opts"].alias("opts"), s["mss"].alias("mss"), s["wscale"].alias("wscale"), s["tstamp"].alias("tstamp"), s["quirks"].alias("quirks")))
 
 
 def fingerprint_text(kind: str = "syn") -> Column:
@@ -67,6 +70,7 @@ def fingerprint_text(kind: str = "syn") -> Column:
         stamp = F.when(F.col("tstamp") == 0, "T0").otherwise("T")
         return F.when(o == 1, "N").when(o == 3, F.concat(F.lit("W"), F.col("wscale").cast("string"))).when(o == 2, F.concat(F.lit("M"), mss.cast("string"))).when(o == 8, stamp).when(o == 4, "S").when(o == 0, "E").otherwise(F.concat(F.lit("?"), o.cast("string")))
 
-    listed = F.array_join(F.transform("opts", letter), ",")
-    marks = F.concat(*(F.when(F.col("quirks").bitwiseAND(F.lit(QUIRKS[c])) != 0, c).otherwise("") for c in "KQ0PZIUXATFDNL!"))
+    shown = F.slice(F.concat("opts", F.array_repeat(F.lit(0), ACK_SHOWN)), 1, ACK_SHOWN) if kind == "ack" else F.col("opts")
+    listed = F.array_join(F.transform(shown, letter), ",")
+    marks = F.concat(*(F.when(F.col("quirks").bitwiseAND(F.lit(QUIRKS[c])) != 0, c).otherwise("") for c in MARKS))
     return F.concat_ws(":", window, F.col("ttl").cast("string"), F.col("df").cast("string"), size, F.when(F.length(listed) < 2, F.concat(listed, F.lit("."))).otherwise(listed), F.when(marks == "", ".").otherwise(marks))

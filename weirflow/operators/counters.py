@@ -41,12 +41,26 @@ def padded(df: DataFrame, ip: str, size: int) -> DataFrame:
     return out.withColumn("state_bytes", F.lit(8) + F.octet_length(F.repeat(F.lit("0"), size - 8)))
 
 
-def protocol_stats(df: DataFrame) -> DataFrame:
-    """One row of conditional counts over all packets."""
+def protocol_stats(frames: DataFrame, os_rows: DataFrame, service_rows: DataFrame) -> DataFrame:
+    """One row of the detector's 23 counters. frames: dispatched ones. os_rows: ip and sig_id of systems found from TCP packets; service_rows: ip, client, service, port and proto of packets to known services.
+
+    Nothing is detected from UDP, ICMP or DHCP packets' forms, and IPv6 isn't opened, so those counters are 0.
+    """
+
     def n(test: str) -> Column:
         return F.count(F.when(F.expr(test), 1))
 
-    return df.agg(
-        F.count(F.lit(1)).alias("got_packets"), n("proto in (4, 41)").alias("ip4ip_recv"), n("proto = 47").alias("gre_recv"), n("proto = 6").alias("tcp_recv"),
-        n("proto = 17").alias("udp_recv"), n("proto = 1").alias("icmp_recv"), n("proto not in (1, 4, 6, 17, 41, 47)").alias("othert_recv"),
+    def different(test: str, *of: str) -> Column:
+        return F.count_distinct(F.when(F.expr(test), F.struct(*of)))
+
+    tcp, udp = "proto = 6", "proto = 17"
+    packets = frames.agg(
+        F.count(F.lit(1)).alias("got_packets"), F.count(F.lit(1)).alias("eth_recv"), n("link = 'arp'").alias("arp_recv"), n("link = 'other'").alias("otherl_recv"), n("vlan is not null").alias("vlan_recv"),
+        n("link = 'ip4'").alias("ip4_recv"), n("link = 'ip6'").alias("ip6_recv"), n("transport = 'ip4ip'").alias("ip4ip_recv"), F.lit(0).cast("long").alias("ip6ip_recv"), n("transport = 'gre'").alias("gre_recv"),
+        n("transport = 'tcp'").alias("tcp_recv"), n("transport = 'udp'").alias("udp_recv"), n("transport = 'icmp'").alias("icmp_recv"), n("transport = 'other'").alias("othert_recv"), different("link = 'ip4'", "src_ip").alias("assets"),
     )
+    systems = os_rows.agg(F.count_distinct("ip", "sig_id").alias("tcp_os_assets"), *(F.lit(0).cast("long").alias(f"{k}_os_assets") for k in ("udp", "icmp", "dhcp")))
+    services = service_rows.agg(*(x for name, test in (("tcp", tcp), ("udp", udp)) for x in (different(test, "ip", "service", "port").alias(f"{name}_services"), different(test, "client").alias(f"{name}_clients"))))
+    # three rows side by side, by a key of one value
+    one = F.lit(1).alias("one")
+    return packets.select("*", one).join(systems.select("*", one), "one").join(services.select("*", one), "one").drop("one")

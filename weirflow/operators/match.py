@@ -1,30 +1,31 @@
 """Matching payloads, headers and addresses against tables of rules.
 
 Rules without an equality to join on become literals of one expression, tried in the order of
-their ids, so a row is read once and nothing is shuffled; there may be RULES_MOST of them, which is
-checked. Lookups with an equality are plain joins, for which Spark picks the strategy by size.
+their ids, so a row is read once and nothing is shuffled; more than RULES_AT_ONCE are tried in
+slices, one expression each. Lookups with an equality are plain joins, for which Spark picks the strategy by size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULES_MOST = 4096
+from .state import free
+
+RULES_AT_ONCE = 4096
 
 
 def first_rule(rows: DataFrame, text: str, rules: DataFrame, rule_id: str = "rule_id") -> DataFrame:
     """rows with a column matched: the least id among the rules (content or regex) that fit the text, null if none does.
 
-    The rules are literals of the expression: a rule file has at most some thousands.
+    The rules are literals, so they go through the driver; a rule file has some thousands.
     """
-    found = rules.select(rule_id, "content", "regex").orderBy(rule_id).limit(RULES_MOST + 1).collect()
-    if len(found) > RULES_MOST:
-        raise ValueError(f"more than {RULES_MOST} rules: pass them in slices, and take the least of what matched")
-    tests = [F.when(fits(F.col(text), r["content"], r["regex"]), F.lit(r[rule_id])) for r in found]
-    return rows.withColumn("matched", reduce(lambda a, b: F.coalesce(a, b), tests, F.lit(None).cast("int")) if tests else F.lit(None).cast("int"))
+    found = rules.select(rule_id, "content", "regex").orderBy(rule_id).collect()
+    out = rows.withColumn("matched", F.lit(None).cast("int"))
+    for k in range(0, len(found), RULES_AT_ONCE):
+        tests = [F.when(fits(F.col(text), r["content"], r["regex"]), F.lit(r[rule_id])) for r in found[k : k + RULES_AT_ONCE]]
+        out = out.withColumn("matched", F.coalesce("matched", *tests))
+    return out
 
 
 def fits(text: Column, content: str | None, regex: str | None) -> Column:
@@ -43,21 +44,21 @@ def scanned(payload: str = "payload", least: int = 10, depth: int = 600) -> Colu
 
 def services(rows: DataFrame, payload: str, signatures: DataFrame) -> DataFrame:
     """rows with sig_id, service and title of the first service signature whose regex fits; $1 to $9 in the title stand for what its groups found."""
-    known = signatures.orderBy("sig_id").limit(RULES_MOST + 1).collect()
-    if len(known) > RULES_MOST:
-        raise ValueError(f"more than {RULES_MOST} signatures")
-    text = F.col(payload)
+    text, own = F.col(payload), free(rows, "hit")[0]
     kind = "struct<sig_id:int,service:string,title:string>"
-    out = F.lit(None).cast(kind)
-    for s in reversed(known):
+    tests = []
+    for s in signatures.orderBy("sig_id").collect():
         parts = [p for p in (s["app"], s["version"], f"({s['misc']})" if s["misc"] else None) if p]
         title = F.lit(" ".join(parts))
         for g in range(1, 10):
             if f"${g}" in " ".join(parts):
                 title = F.replace(title, F.lit(f"${g}"), F.regexp_extract(text, s["regex"], g))
         hit = F.struct(F.lit(s["sig_id"]).alias("sig_id"), F.lit(s["service"]).alias("service"), title.alias("title"))
-        out = F.when(text.rlike(s["regex"]), hit.cast(kind)).otherwise(out)
-    return rows.withColumn("_hit", out).select(*rows.columns, "_hit.sig_id", "_hit.service", "_hit.title")
+        tests.append(F.when(text.rlike(s["regex"]), hit.cast(kind)))
+    out = rows.withColumn(own, F.lit(None).cast(kind))
+    for k in range(0, len(tests), RULES_AT_ONCE):
+        out = out.withColumn(own, F.coalesce(own, *tests[k : k + RULES_AT_ONCE]))
+    return out.select(*rows.columns, f"{own}.sig_id", f"{own}.service", f"{own}.title")
 
 
 def systems(packets: DataFrame, signatures: DataFrame, key: str = "pkt_id") -> DataFrame:

@@ -29,8 +29,14 @@ def entries(flows: DataFrame) -> DataFrame:
     return ahead.unionByName(back)
 
 
-def rewritten(df: DataFrame) -> DataFrame:
-    """TCP packets with the headers that leave: forward packets get the public source, reverse ones the private destination."""
-    hit = df.where("proto = 6").join(entries(table(df)), list(FLOW), "left")
+def replies(df: DataFrame, flows: DataFrame) -> DataFrame:
+    """Answers from outside to the packets of flows that have a port: from their destination to the public address and that port."""
+    some = df.where("proto = 6").join(flows.where("new_port is not null"), list(FLOW))
+    return some.select("pkt_id", F.col("dst_ip").alias("src_ip"), F.lit(PUBLIC_IP).cast("long").alias("dst_ip"), F.col("dst_port").alias("src_port"), F.col("new_port").alias("dst_port"), "proto")
+
+
+def rewritten(df: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """TCP packets with the headers that leave: forward packets get the public source, reverse ones the private destination. flows: the table of ports, that of df if none is given."""
+    hit = df.where("proto = 6").join(entries(table(df) if flows is None else flows), list(FLOW), "left")
     ahead, back = F.coalesce(F.col("is_forward"), F.lit(False)), F.coalesce(~F.col("is_forward"), F.lit(False))
     return hit.select("pkt_id", F.when(ahead, F.col("new_ip")).otherwise(F.col("src_ip")).alias("src_ip"), F.when(back, F.col("new_ip")).otherwise(F.col("dst_ip")).alias("dst_ip"), F.when(ahead, F.col("new_port")).otherwise(F.col("src_port")).alias("src_port"), F.when(back, F.col("new_port")).otherwise(F.col("dst_port")).alias("dst_port"))

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flags, keys, tcp_options
 from ..functions import strings as S
-from ..operators import assets, counters, flows, match, nat, reassembly, state, verdicts
+from ..operators import counters, flows, match, nat, reassembly, state, verdicts
 from ..sources import rules, synthetic
-from ..sources.packets import as_frames, both_ways, decode_frames, packet_stream, packets
-from ..streaming import processors
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+from ..sources.packets import as_frames, both_ways, decode_frames, packets
+from ..sources.shared import new_folder
+from . import maps  # noqa: F401  registers the state tables
+from .registry import QUERIES, query
 
 #: Rules for the text tables: id, content, regex.
 RULES = [(1, "license", None), (2, None, "[Ll]icensed under the [A-Z]"), (3, "thth", None), (4, None, "[0-9]{3}-[0-9]{4}")]
@@ -28,11 +24,6 @@ VENDORS = [("0A0000", 24, "First Vendor"), ("0A000001", 32, "Second Vendor"), ("
 SYSTEM_LINES = ["S4:64:1:60:M*,S,T,N,W7:.:SampleOS:kernel A", "*:128:1:52:M*,N,W8,N,N,S:.:OtherOS:kernel B", "%8192:64:0:44:M1460:.:@Third:any"]
 
 
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
-
-
 @query
 def src_ip_counter(spark, d):
     return counters.by_ip(packets(spark, d), "src_ip")
@@ -180,38 +171,6 @@ def connection_roles(spark, d):
     return flows.roles(both_ways(packets(spark, d)))
 
 
-@query
-def proto_stats(spark, d):
-    return counters.protocol_stats(packets(spark, d))
-
-
-@query
-def asset_table(spark, d):
-    return assets.assets(packets(spark, d)).select("ip", "first_seen", "last_seen", "attempts")
-
-
-@query
-def asset_os_list(spark, d):
-    hits = packets(spark, d).where("proto = 6").select(F.col("src_ip").alias("ip"), "ts", (F.col("dst_ip") % 4).alias("os_id"))
-    return assets.listed(hits, "os_id")
-
-
-@query
-def asset_service_list(spark, d):
-    named = match.known_services(packets(spark, d), rules.known_ports(spark))
-    return assets.listed(named.select(F.col("dst_ip").alias("ip"), "ts", "service", F.col("dst_port").alias("port")), "service", "port")
-
-
-@query
-def asset_context_src(spark, d):
-    return assets.context(packets(spark, d), "src_ip")
-
-
-@query
-def asset_context_dst(spark, d):
-    return assets.context(packets(spark, d), "dst_ip")
-
-
 @query
 def known_port_join(spark, d):
     return match.known_services(packets(spark, d), rules.known_ports(spark)).select("pkt_id", "service")
@@ -247,8 +206,9 @@ def attack_count(spark, d):
 
 @query
 def ids_pass_fail(spark, d):
-    control = spark.range(1).select(F.lit(True).alias("passes"))
-    return packets(spark, d).crossJoin(F.broadcast(control)).agg(F.count(F.when(F.col("passes"), 1)).alias("pass_cnt"), F.count(F.when(~F.col("passes"), 1)).alias("fail_cnt"))
+    """TCP passes, all else fails."""
+    passes = F.col("proto") == 6
+    return packets(spark, d).agg(F.count(F.when(passes, 1)).alias("pass_cnt"), F.count(F.when(~passes, 1)).alias("fail_cnt"))
 
 
 @query
@@ -258,17 +218,6 @@ def service_fingerprint(spark, d):
     return match.services(docs, "payload", table).where("sig_id is not null").select("doc_id", "sig_id", "service", "title")
 
 
-@query
-def os_fingerprint(spark, d):
-    """SYN packets with header fields made from their numbers, against signatures of our own."""
-    lines = spark.createDataFrame([(k, s) for k, s in enumerate(SYSTEM_LINES)], "line int, value string")
-    p = packets(spark, d).where("proto = 6")
-    a = F.col("pkt_id") % 3
-    opts = F.when(a == 0, F.array(*map(F.lit, (2, 4, 8, 1, 3)))).when(a == 1, F.array(*map(F.lit, (2, 1, 3, 1, 1, 4)))).otherwise(F.array(F.lit(2)))
-    heads = p.select("pkt_id", F.when(a == 0, 60).when(a == 1, 52).otherwise(44).alias("size"), F.size(opts).alias("optcnt"), opts.alias("opts"), F.lit(1460).alias("mss"), F.when(a == 0, 7).when(a == 1, 8).otherwise(0).alias("wscale"), F.when(F.col("pkt_id") % 2 == 0, 5840).otherwise(8192).alias("wsize"), (F.col("pkt_id") % 70).cast("int").alias("ttl"), F.when(F.col("pkt_id") % 5 == 0, 0).otherwise(1).alias("df"), F.lit(0).alias("quirks"), F.when(a == 0, 5).otherwise(0).alias("tstamp"))
-    return match.systems(heads, rules.parsed_systems(lines)).where("sig_id is not null")
-
-
 @query
 def mac_vendor_lpm(spark, d):
     macs = packets(spark, d).select("pkt_id", F.lpad(F.hex("src_ip"), 12, "0").alias("low")).select("pkt_id", F.concat(F.substring("low", 5, 8), F.lit("0000")).alias("mac"))
@@ -302,17 +251,18 @@ def nat_table(spark, d):
 
 @query
 def nat_rewrite(spark, d):
-    return nat.rewritten(packets(spark, d))
+    """Packets that leave, and answers to odd ones that come back."""
+    p = packets(spark, d)
+    table = nat.table(p)
+    back = nat.replies(p.where("pkt_id % 2 = 1"), table).withColumn("pkt_id", -F.col("pkt_id") - 1)
+    return nat.rewritten(p.select(*back.columns).unionByName(back), table)
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
     """TCP packets as segments of their flow, in an order of their own: seq by a mix of their number."""
-    from pyspark.sql import Window
-
-    p = packets(spark, d).where("proto = 6").select("pkt_id", "ts", "src_ip")
-    by = Window.partitionBy("src_ip")
-    seq = F.row_number().over(by.orderBy((F.col("pkt_id") * 7919) % 64 + F.col("pkt_id"), "pkt_id"))
-    return p.select("pkt_id", "src_ip", seq.alias("seq"), F.row_number().over(by.orderBy("ts", "pkt_id")).alias("arrival"))
+    p = packets(spark, d).where("proto = 6").select("pkt_id", "ts", "src_ip", ((F.col("pkt_id") * 7919) % 64 + F.col("pkt_id")).alias("o"))
+    mixed = state.summed(p, ["src_ip"], ["o", "pkt_id"], F.floor(F.col("o") / 65536), F.lit(1), "seq")
+    return state.running(mixed, ["src_ip"], F.lit(1), "arrival").select("pkt_id", "src_ip", "seq", "arrival")
 
 
 @query
@@ -359,9 +309,10 @@ def flow_generator(spark, d):
 
 @query
 def random_update(spark, d):
-    """The updated field, whose remainder alone is fixed."""
+    """The updated field, whose remainder alone is fixed: packets by remainder, and whether all are inside and in all tenths of the range."""
     out = synthetic.random_update(packets(spark, d), "src_port", 3000, 500, n=3, k=1)
-    return out.select("pkt_id", ((F.col("src_port") - 3000) % 3).cast("long").alias("residue"), F.col("src_port").between(3001, 3506).alias("inside"))
+    own = F.col("src_port") - 3000
+    return out.groupBy((own % 3).cast("long").alias("residue")).agg(F.count(F.lit(1)).alias("packets"), F.bool_and(own.between(1, 506)).alias("inside"), F.count_distinct(F.floor(F.least(own, F.lit(499)) / 50)).alias("tenths"))
 
 
 @query
@@ -376,8 +327,6 @@ def link_types_table(spark, d):
 
 @query
 def map_catalog(spark, d):
-    from . import maps  # noqa: F401
-
     return state.catalog(spark)
 
 
@@ -398,6 +347,30 @@ def packet_jitter(spark, d):
     return verdicts.jitter(packets(spark, d), ["src_ip"])
 
 
+@query
+def round_trip_times(spark, d):
+    return verdicts.round_trips(both_ways(packets(spark, d)))
+
+
+@query
+def rate_limited(spark, d):
+    return state.limited(packets(spark, d).select("pkt_id", "ts", "src_ip"), 5, 3600)
+
+
+def dealt_query(kind: str) -> None:
+    def f(spark, d):
+        """Packets of a worker are in one partition."""
+        out = verdicts.placed(packets(spark, d), kind, 16).withColumn("partition", F.spark_partition_id())
+        return out.groupBy("worker").agg(F.count(F.lit(1)).alias("packets"), F.count_distinct("partition").alias("partitions"))
+
+    f.__name__ = f"dealt_{kind}"
+    query(f)
+
+
+for _kind in ("hashing", "balanced"):
+    dealt_query(_kind)
+
+
 @query
 def idle_sessions(spark, d):
     return verdicts.sessions(packets(spark, d), ["src_ip"], "1 hour").select("src_ip", "started", "packets")
@@ -452,10 +425,10 @@ def enabled_checks(spark, d):
 
 @query
 def state_lookup(spark, d):
-    """Odd packets look at what even ones have counted."""
+    """All packets look at what UDP packets have counted, which other destinations don't have."""
     p = packets(spark, d)
-    table = p.where("pkt_id % 2 = 0").groupBy("dst_ip").agg(F.count(F.lit(1)).alias("seen"))
-    return state.looked_up(p.where("pkt_id % 2 = 1").select("pkt_id", "dst_ip"), table, ["dst_ip"])
+    table = p.where("proto = 17").groupBy("dst_ip").agg(F.count(F.lit(1)).alias("seen"))
+    return state.looked_up(p.select("pkt_id", "dst_ip"), table, ["dst_ip"])
 
 
 @query
@@ -484,26 +457,6 @@ def flow_context(spark, d):
 @query
 def forwarded_packets(spark, d):
     """What the protocol filter lets through, read back from files."""
-    import tempfile
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weirflow-')}/forwarded-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "forwarded")
     verdicts.forward_to(verdicts.routed(packets(spark, d), F.when(F.col("proto") == 6, 1).otherwise(0)), folder)
     return spark.read.parquet(folder).select("pkt_id", "proto", "verdict")
-
-
-def streamed(spark: SparkSession, name: str, stream: DataFrame, mode: str) -> DataFrame:
-    """A stream's table after all that there is has gone through it."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirflow-")
-    return processors.run_all(stream, f"{name}_{uuid.uuid4().hex[:8]}", mode, f"{folder}/{name}-{uuid.uuid4().hex}")
-
-
-@query
-def stream_src_ip_counter(spark, d):
-    return streamed(spark, "counter", processors.count_by(packet_stream(spark, d), F.col("src_ip").alias("ip")), "complete")
-
-
-@query
-def stream_flow_generation(spark, d):
-    return streamed(spark, "generation", processors.generations(packet_stream(spark, d)), "append")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: bytes of a frame that are looked at.
+SNAPSHOT = 1604
+
 CLIENT_NET, SERVER_NET = 167_772_160, 3_232_235_520  # 10.0.0.0 and 192.168.0.0
 
 
@@ -53,14 +56,14 @@ def number(frame: Column, at: Column, size: int) -> Column:
 
 
 def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
-    """Columns of Ethernet frames: VLAN tags of one or two levels are skipped, IPv4 and its TCP or UDP header are read. Fields that a frame doesn't have are null. Snapshots end at 1604 bytes."""
-    f = F.substring(F.col(frame), F.lit(1), F.lit(1604))
+    """Columns of Ethernet frames: VLAN tags of one or two levels are skipped, IPv4 and its TCP or UDP header are read. Fields that a frame doesn't have are null. Snapshots end at SNAPSHOT bytes; captured tells how many there are."""
+    f = F.substring(F.col(frame), F.lit(1), F.lit(SNAPSHOT))
     outer = number(f, F.lit(12), 2)
     tagged, inner = outer.isin(0x8100, 0x88A8, 0x9100), number(f, F.lit(16), 2)
     base = F.when(tagged & (inner == 0x8100), 22).when(tagged, 18).otherwise(14)
     step = df.withColumn("_l3", base.cast("int"))
     kind = number(f, F.col("_l3") - 2, 2)
-    step = step.withColumn("eth_type", kind).withColumn("vlan", F.when(tagged, number(f, F.lit(14), 2).bitwiseAND(F.lit(0xFFF))))
+    step = step.withColumn("captured", F.length(f)).withColumn("eth_type", kind).withColumn("vlan", F.when(tagged, number(f, F.lit(14), 2).bitwiseAND(F.lit(0xFFF))))
     ip4 = (F.col("eth_type") == 0x0800) & (F.length(f) >= F.col("_l3") + 20)
     step = step.withColumn("_ihl", F.when(ip4, number(f, F.col("_l3"), 1).bitwiseAND(F.lit(15)) * 4).cast("int"))
     at = F.col("_l3")
@@ -103,3 +106,28 @@ def as_frames(df: DataFrame) -> DataFrame:
     ports = [hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2)]
     rest = F.when(tcp, F.concat(hexed(F.pmod("pkt_id", F.lit(1 << 32)), 4), F.lit("0" * 8), F.lit("50"), hexed(F.col("tcp_flags"), 1), F.lit("16d000000000"))).otherwise(F.lit("00080000"))
     return df.select("pkt_id", F.unhex(F.concat(F.lit("0" * 24), F.lit("0800"), *ip, *ports, rest)).alias("frame"))
+
+
+#: IP protocols that mixed_frames() takes turns with.
+OTHER_PROTOCOLS = (1, 4, 41, 47, 50)
+
+
+def mixed_frames(df: DataFrame) -> DataFrame:
+    """pkt_id, ts, frame: frames of all sorts from the addresses and ports of packets, by turns of eight.
+
+    0 and 7: plain ones; 1: with a VLAN tag; 2: with two; 3: ARP; 4: IPv6; 5: other IP protocols;
+    6: another ether type. IPv4 frames have 0 to 1799 bytes of payload, every third none.
+    """
+    turn = F.col("pkt_id") % 8
+    vid = hexed(F.pmod("src_ip", F.lit(4094)) + 1, 2)
+    tag = F.when(turn == 1, F.concat(F.lit("8100"), vid)).when(turn == 2, F.concat(F.lit("88a80064"), F.lit("8100"), vid)).otherwise("")
+    ether = F.when(turn == 3, "0806").when(turn == 4, "86dd").when(turn == 6, "88cc").otherwise("0800")
+    proto = F.when(turn == 5, F.element_at(F.array(*map(F.lit, OTHER_PROTOCOLS)), (F.floor(F.col("pkt_id") / 8) % 5 + 1).cast("int"))).otherwise(F.col("proto"))
+    tcp = proto == 6
+    payload = F.when(F.col("pkt_id") % 3 == 0, 0).otherwise((F.col("pkt_id") * 37) % 1800).cast("int")
+    header = F.when(tcp, 20).otherwise(8)
+    ip = F.concat(F.lit("4500"), hexed(F.lit(20) + header + payload, 2), F.lit("0000400040"), hexed(proto, 1), F.lit("0000"), hexed(F.col("src_ip"), 4), hexed(F.col("dst_ip"), 4))
+    ports = F.concat(hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2))
+    rest = F.when(tcp, F.concat(hexed(F.pmod("pkt_id", F.lit(1 << 32)), 4), F.lit("0" * 8), F.lit("50"), hexed(F.col("tcp_flags"), 1), F.lit("16d000000000"))).otherwise(F.lit("00080000"))
+    body = F.when(turn.isin(3, 4, 6), F.lit("00" * 46)).otherwise(F.concat(ip, ports, rest, F.repeat(F.lit("00"), payload)))
+    return df.select("pkt_id", "ts", F.unhex(F.concat(F.lit("0" * 24), tag, ether, body)).alias("frame"))
