@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share. Where the session names none, as in tests on one machine, a temporary one is set."""
+    """The folder in spark.checkpoint.dir, which all machines share. Where the session names none, a temporary one is set on a single machine, as in tests; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weirflow-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
