@@ -169,12 +169,85 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() == kept[-1][1]
 
 
-def test_pipeline_of_odd_documents(spark):
-    rows = [(1, None, "en", "a", None), (2, "", "en", None, 0), (3, "some text of a document. " * 30, "en", "a", 750), (3, "some text of a document. " * 30, "en", "a", 750), (None, "another text, quite short.", None, "b", 26)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for df in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES[1:4]:
-            assert stage(spark, df, DATA).columns == docs.columns
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, cut string, n_lines int, copies int, key string, row long, size int"
+
+
+def odd_rows():
+    """Nulls, one id with several texts, several null ids, repeated rows, long texts, columns with the names of the operators' own."""
+    r = np.random.default_rng(3)
+    said = lambda n: " ".join(f"w{k}" for k in r.integers(0, 10**6, n))
+    passage, copy = said(60), said(80)
+    rows = [(1, None), (2, ""), (2, ""), (None, ""), (None, None), (None, said(40)), (None, said(50)), (5, said(30)), (5, said(45)), (7, f"{said(9)} {passage} {said(9)}"), (8, f"{said(7)} {passage} {said(5)}"), (9, copy), (10, f"{copy} end"), (11, copy), (12, said(9000)), (13, "x y"), (14, said(25)), (14, said(25))]
+    rows += [(3, said(70))] * 1
+    rows += [rows[-1]] * 4
+    return [(i, t, "en", ["a", "b", None][k % 3], len(t or ""), "c", 7, 8, "k", 9, 10) for k, (i, t) in enumerate(rows)] + [(3, rows[-1][1], "en", "a", 1, "c", 7, 8, "k", 9, 10)] * 2
+
+
+def count(rows):
+    out = {}
+    for r in rows:
+        out[tuple(r)] = out.get(tuple(r), 0) + 1
+    return out
+
+
+def test_stages_of_odd_documents(spark, monkeypatch):
+    docs = spark.createDataFrame(odd_rows(), ODD_COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    # quality: what the network keeps, as it is
+    from weirflow.llm import quality
+
+    net = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    want = count(r for r in docs.collect() if net.score(r.text or "", net.tables()) >= 0.5)
+    assert count(stages["quality"](spark, docs, DATA).collect()) == want
+    # lines: nothing but texts and lengths changes; the second passage goes
+    out = stages["lines"](spark, docs, DATA)
+    rows = out.collect()
+    assert out.columns == docs.columns and all(r.n_chars == len(r.text) for r in rows if r.text) and all(r.cut == "c" and r.key == "k" for r in rows)
+    by = {r.doc_id: r.text for r in rows}
+    assert len(by[7].split()) == 78 and len(by[8].split()) == 12 and 11 not in by and by[10] == "end" and sum(r.doc_id is None for r in rows) == 4
+    # near copies: one row of each class by brute force, all rows without words
+    left = stages["near copies"](spark, docs, DATA)
+    got = count((r.doc_id, r.text or "") for r in left.collect())
+    given = count((r.doc_id, r.text or "") for r in docs.collect())
+    gone = {k for k in given if k[0] in (10, 11)}
+    assert got == {k: 1 if k[1] else n for k, n in given.items() if k not in gone}
+    # mixing: every row as often as the operator says for all rows that are the same
+    times = {}
+    for few in (1024, 2):
+        monkeypatch.setattr(corpus_pipeline, "MOST_COPIES", few)
+        mixed = count(stages["mixing"](spark, docs, DATA).collect())
+        times.setdefault("first", mixed)
+        assert mixed == times["first"] and set(mixed) <= set(count(docs.collect()))
+    given, words = count(docs.collect()), {}
+    for r, n in times["first"].items():
+        assert n <= 3 * given[r]
+        words[r[3]] = words.get(r[3], 0) + n * len((r[1] or "").split())
+    from weirflow.llm import mixing
+
+    targets = {r.source: r.target for r in mixing.mix(docs, with_source=True).collect()}
+    assert all(targets[s] - 10_000 <= words.get(s, 0) <= targets[s] + 1 for s in targets)
+    # packing: every id of every row once
+    pieces = stages["packing"](spark, docs, DATA).collect()
+    from weirflow.llm.tokens import encoder
+    import public_tokenizers
+
+    own = encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(p.length for p in pieces) == sum(len(own.encode(r.text or "")) // 4 + 1 for r in docs.collect())
+
+
+def test_pipeline_runs_on_odd_and_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), ODD_COLUMNS)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    for name, df, marks in (("odd", docs, labels), ("none", docs.limit(0), labels), ("unlabelled", docs, labels.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        step = df
+        for _, stage in corpus_pipeline.STAGES:
+            step = stage(spark, step, f"{tmp_path}/{name}")
+        same = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        assert count(out.select(same).collect()) == count(step.select(same).collect())
+        assert (out.count() > 0) == (name != "none")
 
 
 @pytest.mark.parametrize("name", ["op2_ngram_join", "op6_embeddings"])
