@@ -611,7 +611,7 @@ def plain_score(net, text):
             v += (net.p["byte"][raw[at + k]] + net.p["echo"][echo[at + k]]).astype(float) @ net.p["filters"][k]
         windows.append(np.maximum(v, 0))
     chunks = np.asarray([np.max(windows[k : k + quality.WINDOWS], 0) for k in range(0, len(windows), quality.WINDOWS)])
-    z = np.concatenate([chunks.max(0), chunks.mean(0)]) @ net.p["out"] + net.p["out_bias"][0]
+    z = chunks.max(0) @ net.p["out"] + net.p["out_bias"][0]
     return 1 / (1 + np.exp(-z))
 
 

@@ -6,8 +6,8 @@ of which begins where the last filter window of the chunk before ends its step,
 by WIDTH - STRIDE bytes and every window of the whole text lies in a chunk. Beside the bytes a
 window sees, for each byte, how far back the same three bytes stood before, as one of ECHO
 learned classes, so that filters can learn repetition. A chunk's value for a filter is the
-largest of its windows; the largest and the mean of the chunks' values, of all filters, go
-through one logistic layer to a probability.
+largest of its windows; the largest of the chunks' values, of all filters, go through one
+logistic layer to a probability.
 
 Training uses at most MOST_ROWS labelled rows, the first by the crc32 of their id, whose texts
 sum to at most MOST_CHARS, repeated rows once; they, and nothing else, go through the driver. Scoring reads each
@@ -69,7 +69,7 @@ class Network:
             "echo": r.normal(0, 0.3, (ECHO, EMBED)).astype(np.float32),
             "filters": r.normal(0, 0.3, (WIDTH, EMBED, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "out": r.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
+            "out": r.normal(0, 0.1, FILTERS).astype(np.float32),
             "out_bias": np.zeros(1, np.float32),
         }
 
@@ -101,8 +101,7 @@ class Network:
         return np.concatenate(values), places
 
     def features(self, chunk_values: np.ndarray) -> np.ndarray:
-        v = np.maximum(chunk_values, 0)
-        return np.concatenate([v.max(0), v.mean(0)])
+        return np.maximum(chunk_values, 0).max(0)
 
     def score(self, text: str, tables) -> float:
         values, _ = self.chunks(*symbols(text), tables)
@@ -120,8 +119,8 @@ class Network:
             d = float(1 / (1 + np.exp(-z)) - label) / len(labels)
             g["out"] += d * feats
             g["out_bias"] += d
-            dv = np.tile(d * self.p["out"][FILTERS:] / len(values), (len(values), 1))
-            dv[relu.argmax(0), columns] += d * self.p["out"][:FILTERS]
+            dv = np.zeros_like(values)
+            dv[relu.argmax(0), columns] = d * self.p["out"]
             dv[values <= 0] = 0
             g["bias"] += dv.sum(0)
             at = np.asarray(places) * STRIDE  # chunk, filter -> first byte of the window
