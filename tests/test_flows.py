@@ -183,3 +183,22 @@ def test_more_rules_than_one_expression_has(spark, monkeypatch):
 
 def test_rate_limit(nine):
     assert rows(state.limited(nine, 2, 4), "pkt_id") == [(1,), (2,), (5,), (6,), (9,)]
+
+
+def test_a_key_with_a_third_of_all_packets_is_split(spark):
+    p = spark.range(60_000).select(
+        F.col("id").alias("pkt_id"), (F.timestamp_seconds(F.col("id") * 12)).alias("ts"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))).alias("k"), F.col("id").alias("seq"), F.col("id").alias("arrival")
+    )
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        for out in (state.seen_before(p, ["k"]), state.running(p, ["k"], F.lit(1), "n"), state.previous(p, ["k"], F.col("pkt_id"), "b")):
+            sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+            assert sum(sizes) == 60_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2], sizes
+        one = p.withColumn("k", F.lit(1))
+        sizes = sorted(r["count"] for r in reassembly.released(one, ["k"]).groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 60_000 and sizes[-1] <= 3 * reassembly.SLICE
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)

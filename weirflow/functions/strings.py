@@ -86,3 +86,23 @@ def app_title(app: Column, version: Column, misc: Column) -> Column:
     """app version (misc), without the parts that are empty."""
     full = lambda c: F.when(c.isNotNull() & (c != ""), c)
     return F.concat_ws(" ", full(app), full(version), F.concat(F.lit("("), full(misc), F.lit(")")))
+
+
+#: White space that is trimmed.
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def trimmed(s: Column, left: bool = True, right: bool = True) -> Column:
+    """The text without white space at its ends."""
+    trim = F.btrim if left and right else F.ltrim if left else F.rtrim
+    return trim(s, F.lit(BLANKS))
+
+
+def formatted(said: str, *of: Column) -> Column:
+    """A text in which %s, %d and the like stand for columns."""
+    return F.format_string(said, *of)
+
+
+def split_each(s: Column, mark: str, each) -> Column:
+    """The list of what each (a function of a column) makes of the parts of a text between marks."""
+    return F.transform(split(s, mark), each)

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.flags import closes
 
@@ -26,11 +25,10 @@ SLICE_SECONDS = 3600
 
 @dataclass(frozen=True)
 class StateMap:
-    """A named state table: its key columns, state columns, whether one packet at a time may write it (single) and where its keys are placed."""
+    """A named state table: its key columns, whether one packet at a time may write it (single) and where its keys are placed."""
 
     name: str
     keys: tuple[str, ...]
-    state: T.StructType
     single: bool = True
     placement: str = "balanced"
 

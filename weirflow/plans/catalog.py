@@ -71,7 +71,9 @@ def name_keys(spark, d):
 
 @query
 def header_checksum(spark, d):
-    words = F.array(F.lit(0x4500).cast("long"), F.col("pkt_len").bitwiseAND(F.lit(0xFFFF)), F.pmod("pkt_id", F.lit(65536)), F.lit(0).cast("long"), F.lit(64 * 256).cast("long") + F.col("proto"), *(F.shiftright(c, s).bitwiseAND(F.lit(0xFFFF)) for c in ("src_ip", "dst_ip") for s in (16, 0)))
+    addresses = [F.shiftright(c, s).bitwiseAND(F.lit(0xFFFF)) for c in ("src_ip", "dst_ip") for s in (16, 0)]
+    size, number, rest = F.col("pkt_len").bitwiseAND(F.lit(0xFFFF)), F.pmod("pkt_id", F.lit(65536)), F.lit(64 * 256).cast("long") + F.col("proto")
+    words = F.array(F.lit(0x4500).cast("long"), size, number, F.lit(0).cast("long"), rest, *addresses)
     return packets(spark, d).select("pkt_id", keys.checksum(words).alias("checksum"))
 
 
@@ -334,7 +336,23 @@ def map_catalog(spark, d):
 def string_functions(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_name").alias("s"))
     s = F.col("s")
-    return p.select("p_partkey", S.mid(s, 1, 3).alias("mid"), S.delete(s, 1, 2).alias("deleted"), S.insert(s, 2, F.lit("--")).alias("inserted"), S.find(s, F.lit("a")).alias("found"), S.find_last(s, F.lit("a")).alias("last"), S.find_any(s, "xyz ").alias("any_of"), S.pattern(F.substring(s, 1, 2), 5).alias("pat"), S.join(S.split(s, " "), "+").alias("joined"), S.compare(s, F.lit("m")).alias("cmp"))
+    wide = F.concat(F.lit(" \t"), s, F.lit(" \n"))
+    return p.select(
+        "p_partkey",
+        S.mid(s, 1, 3).alias("mid"),
+        S.delete(s, 1, 2).alias("deleted"),
+        S.insert(s, 2, F.lit("--")).alias("inserted"),
+        S.find(s, F.lit("a")).alias("found"),
+        S.find_last(s, F.lit("a")).alias("last"),
+        S.find_any(s, "xyz ").alias("any_of"),
+        S.pattern(F.substring(s, 1, 2), 5).alias("pat"),
+        S.join(S.split(s, " "), "+").alias("joined"),
+        S.compare(s, F.lit("m")).alias("cmp"),
+        S.trimmed(wide).alias("trimmed"),
+        F.length(S.trimmed(wide, right=False)).alias("left_trimmed"),
+        S.formatted("%s/%05d", s, F.col("p_partkey")).alias("formatted"),
+        S.join(S.split_each(s, " ", F.reverse), "-").alias("each_reversed"),
+    )
 
 
 @query

@@ -1,30 +1,22 @@
-"""The state tables of the sample applications, by name."""
+"""The state tables of the sample applications, by name. Their columns are those of the queries that compute them."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 from ..functions.keys import FLOW, SYM
 from ..operators.state import StateMap, register
 
-
-def fields(said: str) -> T.StructType:
-    return T.StructType([T.StructField(name, getattr(T, kind)()) for name, kind in (x.split(":") for x in said.split())])
-
-
-COUNTER = fields("counter:LongType")
 MAPS = [
-    register(StateMap("src_ip_counter", ("src_ip",), COUNTER, single=False)),
-    register(StateMap("dst_ip_counter", ("dst_ip",), COUNTER, single=False)),
-    register(StateMap("subnet_bytes", ("subnet",), COUNTER, single=False)),
-    register(StateMap("udp_counter", FLOW, fields("svr_ip:LongType cli_ip:LongType svr_port:IntegerType cli_port:IntegerType pkt_cnt:LongType bytes:LongType"))),
-    register(StateMap("tcp_flow", FLOW, fields("set:BooleanType svr_ip:LongType cli_ip:LongType svr_port:IntegerType cli_port:IntegerType start_time:TimestampType end_time:TimestampType pkt_cnt:LongType s2c_bytes:LongType c2s_bytes:LongType"))),
-    register(StateMap("connection", SYM, fields("start_time:TimestampType last_pkt_time:TimestampType reversed:BooleanType s_pkts:LongType d_pkts:LongType s_bytes:LongType d_bytes:LongType s_flags:IntegerType d_flags:IntegerType check:IntegerType"))),
-    register(StateMap("asset", ("ip",), fields("first_seen:TimestampType last_seen:TimestampType attempts:LongType vlan:IntegerType"), single=False)),
-    register(StateMap("os_asset", ("ip", "sig_id"), fields("detection:StringType attempts:LongType first_seen:TimestampType last_seen:TimestampType"), single=False)),
-    register(StateMap("service_asset", ("ip", "sig_id", "port"), fields("proto:IntegerType role:StringType attempts:LongType first_seen:TimestampType last_seen:TimestampType"), single=False)),
-    register(StateMap("nat_entry", FLOW, fields("new_ip:LongType new_port:IntegerType is_forward:BooleanType"))),
-    register(StateMap("port_pool", ("name",), fields("public_ip:LongType used:BinaryType"), placement="static")),
-    register(StateMap("reassembly", FLOW, fields("next_expected_seq:LongType next_generated_seq:LongType"))),
-    register(StateMap("whitelist", ("src_ip",), fields("is_ok:BooleanType"), placement="hashing")),
+    register(StateMap("src_ip_counter", ("src_ip",), single=False)),
+    register(StateMap("dst_ip_counter", ("dst_ip",), single=False)),
+    register(StateMap("subnet_bytes", ("subnet",), single=False)),
+    register(StateMap("udp_counter", FLOW)),
+    register(StateMap("tcp_flow", FLOW)),
+    register(StateMap("connection", SYM)),
+    register(StateMap("asset", ("ip",), single=False)),
+    register(StateMap("os_asset", ("ip", "sig_id"), single=False)),
+    register(StateMap("service_asset", ("ip", "sig_id", "port"), single=False)),
+    register(StateMap("nat_entry", FLOW)),
+    register(StateMap("port_pool", ("name",), placement="static")),
+    register(StateMap("reassembly", FLOW)),
+    register(StateMap("whitelist", ("src_ip",), placement="hashing")),
 ]

@@ -233,7 +233,8 @@ SQL: dict[str, str] = {
     "string_functions": """select p_partkey, substr(s, 2, 3) as mid, substr(s, 1, 1) || substr(s, 4) as deleted, substr(s, 1, 2) || '--' || substr(s, 3) as inserted,
       cast(instr(s, 'a') - 1 as int) as found, cast(case when instr(s, 'a') = 0 then -1 else length(s) - instr(reverse(s), 'a') end as int) as last,
       cast(case when regexp_matches(s, '[xyz ]') then length(regexp_extract(s, '^[^xyz ]*')) else -1 end as int) as any_of,
-      substr(repeat(substr(s, 1, 2), 5), 1, 5) as pat, replace(s, ' ', '+') as joined, case when s < 'm' then -1 when s > 'm' then 1 else 0 end as cmp
+      substr(repeat(substr(s, 1, 2), 5), 1, 5) as pat, replace(s, ' ', '+') as joined, case when s < 'm' then -1 when s > 'm' then 1 else 0 end as cmp,
+      s as trimmed, cast(length(s) + 2 as int) as left_trimmed, printf('%s/%05d', s, p_partkey) as formatted, list_reduce(list_transform(string_split(s, ' '), lambda x: reverse(x)), lambda a, b: a || '-' || b) as each_reversed
       from (select p_partkey, p_name as s from part)""",
     "payload_scan": "select doc_id, cast(case when length(text) >= 10 then least(length(text), 600) end as int) as scanned from documents",
     "packet_jitter": of(
