@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import FLOW
@@ -39,4 +39,8 @@ def rewritten(df: DataFrame, flows: DataFrame | None = None) -> DataFrame:
     """TCP packets with the headers that leave: forward packets get the public source, reverse ones the private destination. flows: the table of ports, that of df if none is given."""
     hit = df.where("proto = 6").join(entries(table(df) if flows is None else flows), list(FLOW), "left")
     ahead, back = F.coalesce(F.col("is_forward"), F.lit(False)), F.coalesce(~F.col("is_forward"), F.lit(False))
-    return hit.select("pkt_id", F.when(ahead, F.col("new_ip")).otherwise(F.col("src_ip")).alias("src_ip"), F.when(back, F.col("new_ip")).otherwise(F.col("dst_ip")).alias("dst_ip"), F.when(ahead, F.col("new_port")).otherwise(F.col("src_port")).alias("src_port"), F.when(back, F.col("new_port")).otherwise(F.col("dst_port")).alias("dst_port"))
+
+    def own(column: str, translated: str, side: Column) -> Column:
+        return F.when(side, F.col(translated)).otherwise(F.col(column)).alias(column)
+
+    return hit.select("pkt_id", own("src_ip", "new_ip", ahead), own("dst_ip", "new_ip", back), own("src_port", "new_port", ahead), own("dst_port", "new_port", back))

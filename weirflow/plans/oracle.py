@@ -251,8 +251,16 @@ SQL: dict[str, str] = {
 }
 QUIRKS = "{0} | case when seq = ack then 2048 else 0 end | case when seq = 0 then 4096 else 0 end | case when tcp_flags & 41 <> 0 then 128 else 0 end | case when ack <> 0 then 32 else 0 end | case when urg <> 0 then 8 else 0 end"
 SQL |= {
-    "frame_decode": of("select pkt_id, cast(2048 as bigint) as eth_type, src_ip, dst_ip, cast(src_port as bigint) as src_port, cast(dst_port as bigint) as dst_port, cast(proto as bigint) as proto, cast(case when proto = 6 then tcp_flags end as bigint) as tcp_flags, cast(64 as bigint) as ttl, cast(1 as bigint) as df, l as pkt_len, l - 20 as packet_bytes, l - case when proto = 6 then 40 else 28 end as payload_len, case when proto = 6 then pkt_id end as seq from (select *, least(pkt_len, 65535) as l from p)"),
-    "packet_kinds": of("select case when proto <> 6 then 'other' when tcp_flags & 18 = 18 then 'synack' when tcp_flags & 2 <> 0 then 'syn' when tcp_flags & 1 <> 0 then 'fin' when tcp_flags & 4 <> 0 then 'rst' when tcp_flags & 16 <> 0 then 'ack' else 'other' end as kind, proto, count(*) as packets from p group by all"),
+    "frame_decode": of(
+        """select pkt_id, cast(2048 as bigint) as eth_type, src_ip, dst_ip, cast(src_port as bigint) as src_port, cast(dst_port as bigint) as dst_port,
+      cast(proto as bigint) as proto, cast(case when proto = 6 then tcp_flags end as bigint) as tcp_flags, cast(64 as bigint) as ttl, cast(1 as bigint) as df,
+      l as pkt_len, l - 20 as packet_bytes, l - case when proto = 6 then 40 else 28 end as payload_len, case when proto = 6 then pkt_id end as seq
+    from (select *, least(pkt_len, 65535) as l from p)"""
+    ),
+    "packet_kinds": of(
+        """select case when proto <> 6 then 'other' when tcp_flags & 18 = 18 then 'synack' when tcp_flags & 2 <> 0 then 'syn' when tcp_flags & 1 <> 0 then 'fin'
+      when tcp_flags & 4 <> 0 then 'rst' when tcp_flags & 16 <> 0 then 'ack' else 'other' end as kind, proto, count(*) as packets from p group by all"""
+    ),
     "tcp_quirks": of(f"select pkt_id, cast({QUIRKS.format('0')} as int) as syn, cast({QUIRKS.format('case when tcp_flags & 16 <> 0 then 8192 else 0 end')} as int) as fin from (select pkt_id, tcp_flags, pkt_id % 3 as seq, pkt_id % 4 as ack, pkt_id % 2 as urg from p where proto = 6)"),
     "tcp_fingerprint": of(
         """select pkt_id, case when pkt_id % 2 = 0 then 'S4' else '1000' end || ':64:1:' || case when s < 100 then cast(s as varchar) else '*(' || s || ')' end

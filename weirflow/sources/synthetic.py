@@ -16,7 +16,15 @@ def uniform(*of: Column) -> Column:
 def udp_packets(spark: SparkSession, n: int = 4096) -> DataFrame:
     """UDP packets with sources 192.168.0.(i % 255), destinations 10.0.0.(i % 255) and source ports 1234 + i."""
     i = F.col("id")
-    return spark.range(n).select(i.alias("pkt_id"), (F.lit(3_232_235_520) + i % 255).alias("src_ip"), (F.lit(167_772_160) + i % 255).alias("dst_ip"), ((F.lit(1234) + i) % 65536).cast("int").alias("src_port"), F.lit(5678).alias("dst_port"), F.lit(17).alias("proto"), F.lit(60).cast("long").alias("pkt_len"))
+    return spark.range(n).select(
+        i.alias("pkt_id"),
+        (F.lit(3_232_235_520) + i % 255).alias("src_ip"),
+        (F.lit(167_772_160) + i % 255).alias("dst_ip"),
+        ((F.lit(1234) + i) % 65536).cast("int").alias("src_port"),
+        F.lit(5678).alias("dst_port"),
+        F.lit(17).alias("proto"),
+        F.lit(60).cast("long").alias("pkt_len"),
+    )
 
 
 def offset(j: Column, n: int, k: int, span: int) -> Column:
@@ -57,7 +65,17 @@ def flows(spark: SparkSession, n_flows: int, pps: float = 1000.0, flow_rate: flo
         started = sliced.join(before, "slice").withColumn("start", F.col("before") + F.sum("gap").over(Window.partitionBy("slice").orderBy("flow_id")) - F.col("gap"))
     out = started.select("*", F.explode(F.sequence(F.lit(1), F.col("packets"))).alias("nth"))
     flags = F.when(F.col("nth") == 1, 2).otherwise(16) + F.when(F.col("nth") == F.col("packets"), 1).otherwise(0)
-    return out.select("flow_id", "nth", (F.col("start") + (F.col("nth") - 1) * (duration / mean)).alias("ts"), (F.lit(167_772_160) + F.col("ip_off")).alias("src_ip"), (F.lit(3_232_235_520) + F.col("ip_off")).alias("dst_ip"), (F.lit(1024) + F.col("port_off")).cast("int").alias("src_port"), (F.lit(80) + F.col("port_off")).cast("int").alias("dst_port"), F.lit(6).alias("proto"), flags.alias("tcp_flags"))
+    return out.select(
+        "flow_id",
+        "nth",
+        (F.col("start") + (F.col("nth") - 1) * (duration / mean)).alias("ts"),
+        (F.lit(167_772_160) + F.col("ip_off")).alias("src_ip"),
+        (F.lit(3_232_235_520) + F.col("ip_off")).alias("dst_ip"),
+        (F.lit(1024) + F.col("port_off")).cast("int").alias("src_port"),
+        (F.lit(80) + F.col("port_off")).cast("int").alias("dst_port"),
+        F.lit(6).alias("proto"),
+        flags.alias("tcp_flags"),
+    )
 
 
 def random_update(df: DataFrame, column: str, least: int, span: int, n: int = 1, k: int = 0, key: str = "pkt_id", seed: int = 1) -> DataFrame:
