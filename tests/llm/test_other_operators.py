@@ -259,3 +259,26 @@ def test_queries_as_sql(spark, name):
     want, ours = duckdb.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, DATA)
     order = sorted(ours.columns)
     assert sorted(tuple(r[c] for c in order) for r in ours.collect()) == sorted(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall())
+
+
+#: What SQL can say of three queries whose other columns it can't.
+PARTS = {
+    "op3_fingerprints": r"""select doc_id, length(t) as n_chars, sha256(substr(t, 1, length(t) - length(t) // 4) || substr(following, 1, length(t) // 4)) as edited_sha256 from (
+        select doc_id, t, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as following from (select doc_id, coalesce(text, '') as t from documents))""",
+    "op5_pii": r"""select doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as n_email,
+        len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: cast(p as hugeint) > 255)) = 0)) as n_ip,
+        len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 9 and 15)) as n_phone
+        from (select doc_id, coalesce(text, '') as t from documents)""",
+    "op8_mixing": r"""select doc_id, size, cast(sum(size) over (partition by source) as bigint) as source_size from (
+        select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents)""",
+}
+
+
+@pytest.mark.parametrize("name", sorted(PARTS))
+def test_columns_that_sql_can_say(spark, name):
+    import duckdb
+
+    duckdb.sql(f"create or replace view documents as select * from '{DATA}/documents.parquet'")
+    want = duckdb.sql(PARTS[name])
+    ours = queries.queries()[name](spark, DATA).select(want.columns)
+    assert sorted(map(tuple, ours.collect())) == sorted(want.fetchall())

@@ -241,5 +241,8 @@ def find(docs: DataFrame) -> DataFrame:
         ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"])))
         return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    own = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def counted(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    own = [counted(k) for k in range(len(KINDS))]
     return seen.select("doc_id", *own, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat(F.col("base"), accepted)).alias("spans"))
