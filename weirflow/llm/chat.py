@@ -38,10 +38,10 @@ LAYOUTS: dict[str, dict] = {
     "messages": {"list": "messages", "role": "role", "text": "content"},
     "conversations": {"list": "conversations", "role": "from", "text": "value"},
     "turn_rows": {"rows": ("conv_id", "turn", "role", "text")},
-    "message_rows": {"rows": ("thread_id", "position", "author", "body")},
+    "message_rows": {"rows": ("thread_id", "position", "author", "body"), "renamed": True},
 }
 
-#: Other names of roles.
+#: Other names of roles, which layouts with roles of their own use; in rows of turns a role stays as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 LOSS_ROLE = "assistant"
@@ -164,7 +164,7 @@ def turn_rows(df: DataFrame, key: str = "conv_id") -> DataFrame:
     name = layout_of(schema_paths(df.schema))
     if name and "rows" in LAYOUTS[name]:
         conversation, turn_at, role, text = map(F.col, LAYOUTS[name]["rows"])
-        return df.select(conversation.alias("conv_id"), turn_at.cast("long").alias("turn"), renamed(role).alias("role"), text.alias("text"))
+        return df.select(conversation.alias("conv_id"), turn_at.cast("long").alias("turn"), (renamed(role) if LAYOUTS[name].get("renamed") else role).alias("role"), text.alias("text"))
     return rows_of(turns_of(df, key), key).select(F.col(key).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
 
