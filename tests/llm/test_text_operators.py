@@ -223,6 +223,7 @@ def test_pii(spark, docs, edge):
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(r.text))
         assert got[r.doc_id].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(base.split(",")) <= set(got[r.doc_id].spans.split(",")) or not base
+        assert [got[r.doc_id][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in brute(r.text)) for k in pii.KINDS]
     assert pii.find(edge).count() == edge.count() and pii.find(edge.limit(0)).count() == 0
     assert pii.find(edge.select("text", "doc_id", F.lit("a@b.cd").alias("spans"))).count() == edge.count()
     rows = [(k, f"write an email to ann.b{k}@mail.example.com today or call phone +1 555 123 45{k % 10}0 now") for k in range(40)] + [(100, "call my phone 555-123-4567 now"), (101, "order invoice 555-123-4567 page"), (102, "mail ann (at) example (dot) com")]
@@ -297,6 +298,16 @@ def line_bounds(text):
     return out
 
 
+def test_filters_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PART", 1 << 9)
+    keys = spark.range(3000).select((F.col("id") * 7 - 9).alias("a"), F.xxhash64("id").alias("b"))
+    bits = lines.filter_of(keys)
+    assert len(bits) == (1 << 15) // 8 and keys.mapInArrow(lines.maybe(bits, (0, 1)), keys.schema).count() == 3000
+    others = spark.range(3000, 13_000).select((F.col("id") * 7 - 9).alias("a"), F.xxhash64("id").alias("b"))
+    assert others.mapInArrow(lines.maybe(bits, (0, 1)), keys.schema).count() < 2000
+    assert lines.filter_of(keys.limit(0)).sum() == 0
+
+
 def texts_of_white_space():
     r = random.Random(1)
     return ["".join(r.choice("ab. \n\t!?é\u2003\u3000\x85\x1c\xa0") for _ in range(r.randint(0, 30))) for _ in range(3000)] + [None, "", "x" * 3000]
@@ -363,6 +374,8 @@ def test_line_dedup_of_odd_tables(spark, edge):
     passage = "This passage stands in many places and has more than fifty words in it. " * 1 + " ".join(f"word{k}" for k in range(45)) + "."
     rows = [(k, f"Own beginning number {k} of the text.\n{passage}\nAnd an end {k} too.") for k in range(5)] + [(9, "Clean text of its own.")]
     out = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    named = {r.name: r.text for r in lines.dedup(spark.createDataFrame([(f"d{k}", t) for k, t in rows], "name string, text string"), id_col="name", whole_lines=False).collect()}
+    assert sum(passage in t for t in named.values()) == 1 and len(named) == 6
     assert passage in out[0] and all("passage" not in out[k] and "Own beginning" in out[k] and f"end {k}" in out[k] for k in range(1, 5)) and out[9] == "Clean text of its own."
 
 

@@ -17,7 +17,7 @@ told apart by 64-bit hashes.
 
 Defined results: a null text stays null, an empty one empty; documents with the same id and text
 are one document and get the same result; of the same id and other text, they are ordered by a
-hash of the text, null ids before all; texts of fewer than RUN words stay; an empty table gives
+hash of the text, null ids before all, and ids that aren't whole numbers by their hash; texts of fewer than RUN words stay; an empty table gives
 no rows; other columns stay. A line is a stretch of text up to a line break or the end of a
 sentence; n_lines counts those with words, n_cut those that are cut whole.
 
@@ -35,9 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType
 
-from .common import by_batch, new_folder, parts, ranges, settle
+from .common import by_batch, dropped, new_folder, parts, ranges, settle
 from .shingles import BASE, INVERSE, Words, mixed, powers, words_of
 
 RUN = 30
@@ -45,8 +45,10 @@ RUN = 30
 GRAM = 10
 #: Bytes that are hashed at a time.
 AT_A_TIME = 1 << 21
-#: Bits of the filter of texts that are read again, at most.
+#: Bits of a filter, at most: with more keys it spares less.
 BITS = 1 << 27
+#: Bits of it that one task puts together.
+PART = 1 << 20
 
 WORD = re.compile(r"\S+")
 
@@ -134,37 +136,62 @@ def lines_within(cuts: list[tuple[int, int]], ends: np.ndarray) -> int:
     return sum(max(0, int(np.searchsorted(total, b, "right")) - 1 - int(np.searchsorted(total, a))) for a, b in cuts)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder as Parquet, which takes less room there than settle's rows."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, "lines")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """Tables that are computed once and kept in the shared folder as Parquet, which takes less room there than settle's rows, until they are dropped."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
 
-def bits_of(d: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    """The place of a document in a filter of size bits, a power of two."""
-    return (mixed(d.view(np.uint64) * BASE + h.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+    def written(self, df: DataFrame) -> DataFrame:
+        path = new_folder(self.spark, "lines")
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes those that there are."""
+        for path in self.paths:
+            dropped(self.spark, path)
+        self.paths = []
+
+
+def bits_of(columns: list[pa.Array], size: int) -> np.ndarray:
+    """The place of each row's key (one or two columns of numbers) in a filter of size bits, a power of two."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = mixed(h * BASE + c.to_numpy().view(np.uint64))
+    return (h & np.uint64(size - 1)).astype(np.int64)
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
-    """Bits that tell which documents (columns d0, h0) may be among keys: those that aren't are mostly spared, none that is gets lost."""
+    """Bits that tell which keys (rows of one or two columns of numbers) may be there: most that aren't are spared, none that is gets lost.
+
+    The bits are put together in parts of PART, so that no task and no message has more than all BITS.
+    """
     size = min(BITS, max(1 << 10, 1 << (8 * keys.count()).bit_length()))
 
     def at(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(bits_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), size)).astype(np.int32))], ["bit"])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(bits_of(batch.columns, size)).astype(np.int32))], ["bit"])
+
+    def pack(t: pa.Table) -> pa.Table:
+        part, own = t["part"][0].as_py(), np.zeros(min(PART, size), bool)
+        own[t["bit"].to_numpy() - part * PART] = True
+        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
-    out = np.zeros(size, bool)
-    for batch in keys.select("d0", "h0").mapInArrow(by_batch(at), "bit int").toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = True
-    return np.packbits(out)
+    bits = keys.mapInArrow(by_batch(at), "bit int").distinct().withColumn("part", F.floor(F.col("bit") / PART).cast("int"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in bits.groupBy("part").applyInArrow(pack, "part int, bits binary").collect():
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * PART // 8 : r["part"] * PART // 8 + len(own)] = own
+    return out
 
 
-def maybe(bits: np.ndarray, f=None, there: bool = True):
-    """A function for mapInArrow that leaves the rows (d and h first) that may be in a filter, or those that aren't, and applies f to them."""
+def maybe(bits: np.ndarray, key: tuple[int, ...], f=None, there: bool = True):
+    """A function for mapInArrow that leaves the rows whose key, the columns of these numbers, may be in a filter, or those where it isn't, and applies f to them."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast(bits)
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = bits_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), 8 * len(shared.value))
+        k = bits_of([batch.column(c) for c in key], 8 * len(shared.value))
         found = (shared.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
         some = batch.filter(pa.array(found if there else ~found))
         return f(some) if f else some
@@ -181,7 +208,8 @@ def line_counts(words: Words) -> np.ndarray:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM, whole_lines: bool = True) -> DataFrame:
     """docs with repeated runs cut from the text, and columns n_lines, n_cut (lines cut whole) and cut (spans start:end, in code points of the text as it was)."""
     spark = docs.sparkSession
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h")]
+    number = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    key = [F.coalesce(number, F.lit(-(2**63))).alias("d"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h")]
     place = F.struct("d", "h", "at")
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -193,12 +221,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
 
     keyed = docs.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text"))
-    seen = written(keyed.mapInArrow(by_batch(look), "d long, h long, at int, n int, mark long, seg long"))
+    early, tables = Tables(spark), Tables(spark)
+    seen = early.written(keyed.mapInArrow(by_batch(look), "d long, h long, at int, n int, mark long, seg long"))
     marks = settle(seen.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark"))
-    again = written(seen.join(marks, "mark").select("d", "h", "at", "n", "mark", "seg"))
-    first = written(again.groupBy("seg").agg(F.min(F.struct("d", "h", "at", "n", "mark")).alias("f")).select("seg", "f.*"))
+    again = tables.written(seen.join(marks, "mark").select("d", "h", "at", "n", "mark", "seg"))
+    early.drop()
+    first = tables.written(again.groupBy("seg").agg(F.min(F.struct("d", "h", "at", "n", "mark")).alias("f")).select("seg", "f.*"))
     later = again.join(first.select("seg", F.struct("d", "h", "at").alias("f")), "seg").where(place > F.col("f"))
-    several = first.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
+    several = settle(first.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark"))
     apart = settle(first.join(several, "mark").groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_list(F.struct("at", "n")).alias("segs")))
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -213,19 +243,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
             out.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(words.runs(run)[words.starts[of] + at].view(np.int64))], ["d", "h", "at", "win"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-    few = keyed.mapInArrow(maybe(filter_of(apart)), keyed.schema)
+    few = keyed.mapInArrow(maybe(filter_of(apart.select("d0", "h0")), (0, 1)), keyed.schema)
     needed = few.join(apart, (F.col("d") == F.col("d0")) & (F.col("h") == F.col("h0"))).select("d", "h", "text", "segs")
-    parted = written(needed.mapInArrow(by_batch(windows), "d long, h long, at int, win long"))
+    parted = tables.written(needed.mapInArrow(by_batch(windows), "d long, h long, at int, win long"))
     least = settle(parted.groupBy("win").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("win", "f"))
     others = parted.join(least, "win").where(place > F.col("f"))
     cuts = later.select("d", "h", "at", (F.col("at") + F.col("n") + (run - 1)).alias("stop")).unionByName(others.select("d", "h", "at", (F.col("at") + run).alias("stop")))
     cuts = settle(cuts.groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_set(F.struct("at", "stop")).alias("c")))
+    tables.drop()
     # docs' columns by number, so that no name clashes
     names = [f"c{k}" for k in range(len(docs.columns))]
     whole, at_text = docs.select(*key, *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))), 2 + docs.columns.index(text_col)
     out_names = [*docs.columns, "n_lines", "n_cut", "cut"]
     schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField("n_lines", LongType()), StructField("n_cut", LongType()), StructField("cut", StringType())])
-    bits = filter_of(cuts)
+    bits = filter_of(cuts.select("d0", "h0"))
 
     def as_it_is(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Documents of which nothing is cut."""
@@ -234,9 +265,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
         return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.concatenate([np.zeros(0, np.int64), *lines])), pa.array(np.zeros(n, np.int64)), pa.array([""] * n, pa.string())], out_names)
 
     # most documents aren't cut and stay where they are; those that may be are dealt with their cuts
-    kept = whole.mapInArrow(maybe(bits, as_it_is, False), schema)
+    kept = whole.mapInArrow(maybe(bits, (0, 1), as_it_is, False), schema)
     told = cuts.select(F.col("d0").alias("d"), F.col("h0").alias("h"), F.lit(0).alias("kind"), F.col("c.at").alias("at"), F.col("c.stop").alias("stop"))
-    some = whole.mapInArrow(maybe(bits), whole.schema).withColumn("kind", F.lit(1))
+    some = whole.mapInArrow(maybe(bits, (0, 1)), whole.schema).withColumn("kind", F.lit(1))
     dealt = some.unionByName(told, allowMissingColumns=True).repartition(parts(spark), "d", "h").sortWithinPartitions("d", "h", "kind").select("d", "h", *names, "kind", "at", "stop")
 
     def cut(batches):
