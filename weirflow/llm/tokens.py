@@ -27,7 +27,7 @@ from .common import ranges
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work to the cores
 
 #: Entries of a table of stretches; when it has more, it becomes the older table, from which what is used again comes back.
-MOST = 300_000
+MOST = 150_000
 #: Characters of texts that are cut at a time, and stretches whose ids are put together at a time.
 AT_A_TIME, GATHERED = 1 << 22, 1 << 19
 
