@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,6 +80,16 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Gives the system back what this process has freed. Workers go from task to task and from stage to stage, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow from one that turns a batch into a batch, of so many rows at a time."""
 
@@ -87,6 +98,8 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1
             for k in range(0, batch.num_rows, rows):
                 if (out := f(batch.slice(k, rows))) is not None and out.num_rows:
                     yield out
+            out = None
+            released()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ranges, settle
+from .common import ranges, released, settle
 from .tokens import AT_A_TIME, encoder
 
 WINDOW = 2048
@@ -98,6 +98,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
                 at, raw = 4 * (ends[of] - total[of] + start), memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[of])], [id_col, "start", "length", "ids_crc32", "doc_tokens"])
+                del some, ids, raw, of, start, length, at, crc
+            released()
 
     return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
 
