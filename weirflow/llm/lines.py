@@ -29,16 +29,15 @@ queries and the pipeline set it to False.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType
 
-from .common import by_batch, dropped, new_folder, parts, ranges, settle
-from .shingles import BASE, INVERSE, Words, mixed, powers, words_of
+from .common import by_batch, dropped, new_folder, parts, ranges, released, settle
+from .shingles import BASE, INVERSE, Bounds, bounds_of, mixed, powers, words_of
 
 RUN = 30
 #: Words whose hash can be a window's mark.
@@ -50,9 +49,6 @@ BITS = 1 << 27
 #: Bits of it that one task puts together.
 PART = 1 << 20
 
-WORD = re.compile(r"\S+")
-
-
 class Runs:
     """The words of some texts, with the hash of any run of them. With whole_lines, a word's hash also tells whether it begins or ends a line."""
 
@@ -106,34 +102,40 @@ class Runs:
         return owner[at], at - self.starts[owner[at]], n, marks[of[first]], mixed(whole + n.astype(np.uint64) * BASE)
 
 
-def joined(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges, given in any order, as the ranges that they cover."""
-    out: list[list[int]] = []
-    for a, b in sorted(cuts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def cut_words(text: str, cuts: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the words in cuts, and the spans cut out. What stands before the first word goes with it."""
-    bounds = [m.start() for m in WORD.finditer(text)]
-    bounds = [0, *bounds[1:], len(text)]
-    spans = [(bounds[a], bounds[b]) for a, b in cuts]
-    out, at = [], 0
-    for a, b in spans:
-        out.append(text[at:a])
-        at = b
-    out.append(text[at:])
-    return "".join(out), spans
-
-
-def lines_within(cuts: list[tuple[int, int]], ends: np.ndarray) -> int:
-    """How many lines are cut whole. ends: the words after which lines end."""
-    total = np.concatenate([[0], ends])
-    return sum(max(0, int(np.searchsorted(total, b, "right")) - 1 - int(np.searchsorted(total, a))) for a, b in cuts)
+def joined(of: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of words, given in any order with the number of their document, as the ranges that they cover, in order."""
+    if not len(of):
+        return of, at, stop
+    order = np.lexsort((at, of))
+    of, at, stop = of[order], at[order], stop[order]
+    far = np.maximum.accumulate((of << 32) + stop)
+    first = np.flatnonzero(np.concatenate([[True], (of[1:] << 32) + at[1:] > far[:-1]]))
+    return of[first], at[first], far[np.append(first[1:], len(of)) - 1] & 0xFFFFFFFF
+
+
+def cut_texts(texts: pa.Array, of: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
+    """Texts without the words in ranges, as joined() has them, with the text's number; the lines of each text, those that are cut whole, and the spans cut out. What stands before the first word goes with it."""
+    words = bounds_of(texts)
+    counts, starts = words.counts, np.cumsum(words.counts) - words.counts
+    ends = np.concatenate([[0], np.flatnonzero(words.line_ends) + 1])
+    lines, said, n_cut = line_counts(words), [""] * len(texts), np.zeros(len(texts), np.int64)
+    if not len(of):
+        return texts, lines, n_cut, said
+    begin, end = starts[of] + at, starts[of] + stop
+    np.add.at(n_cut, of, np.maximum(0, np.searchsorted(ends, end, "right") - 1 - np.searchsorted(ends, begin)))
+    points, length = words.points()
+    points = np.append(points, 0)
+    left = np.where(at == 0, 0, points[begin]).tolist()
+    right = np.where(stop == counts[of], length[of], points[end]).tolist()
+    out, edges = texts.to_pylist(), np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])).tolist()
+    for first, last, k in zip(edges[:-1], edges[1:], of[edges[:-1]].tolist(), strict=True):
+        text, kept, done = out[k], [], 0
+        for a, b in zip(left[first:last], right[first:last], strict=True):
+            kept.append(text[done:a])
+            done = b
+        out[k] = "".join([*kept, text[done:]])
+        said[k] = ",".join(f"{a}:{b}" for a, b in zip(left[first:last], right[first:last], strict=True))
+    return pa.array(out, texts.type), lines, n_cut, said
 
 
 class Tables:
@@ -199,7 +201,7 @@ def maybe(bits: np.ndarray, key: tuple[int, ...], f=None, there: bool = True):
     return by_batch(own)
 
 
-def line_counts(words: Words) -> np.ndarray:
+def line_counts(words: Bounds) -> np.ndarray:
     """The number of lines with words of each text."""
     total, ends = np.concatenate([[0], np.cumsum(words.line_ends)]), np.cumsum(words.counts)
     return total[ends] - total[ends - words.counts]
@@ -232,11 +234,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     apart = settle(first.join(several, "mark").groupBy(F.col("d").alias("d0"), F.col("h").alias("h0")).agg(F.collect_list(F.struct("at", "n")).alias("segs")))
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        segs, out = batch.column(3).to_pylist(), []
+        segs, out = batch.column(3), []
         for a, b in ranges(batch.column(2), AT_A_TIME):
             words = Runs(batch.column(2).slice(a, b - a), whole_lines)
-            of = np.repeat(np.arange(b - a), [len(s) for s in segs[a:b]])
-            at, n = (np.asarray([s[c] for some in segs[a:b] for s in some], np.int64) for c in ("at", "n"))
+            own = segs.slice(a, b - a)
+            of = np.repeat(np.arange(b - a), pc.list_value_length(own).to_numpy())
+            at, n = (own.flatten().field(c).to_numpy().astype(np.int64) for c in ("at", "n"))
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             of, at = np.repeat(of, n), np.repeat(at, n) + within
             take = pa.array(of + a)
@@ -261,7 +264,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     def as_it_is(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Documents of which nothing is cut."""
         n, text = len(batch), batch.column(at_text)
-        lines = [line_counts(words_of(text.slice(a, b - a))) for a, b in ranges(text, AT_A_TIME)]
+        lines = [line_counts(bounds_of(text.slice(a, b - a))) for a, b in ranges(text, AT_A_TIME)]
         return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.concatenate([np.zeros(0, np.int64), *lines])), pa.array(np.zeros(n, np.int64)), pa.array([""] * n, pa.string())], out_names)
 
     # most documents aren't cut and stay where they are; those that may be are dealt with their cuts
@@ -271,30 +274,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     dealt = some.unionByName(told, allowMissingColumns=True).repartition(parts(spark), "d", "h").sortWithinPartitions("d", "h", "kind").select("d", "h", *names, "kind", "at", "stop")
 
     def cut(batches):
-        last, gone = None, []
+        last, gone = None, (np.zeros(0, np.int64),) * 2  # the last row's key, and what is cut of it
         for batch in batches:
-            d, h = (batch.column(k).to_pylist() for k in range(2))
-            kind, at, stop = (batch.column(2 + len(names) + k).to_pylist() for k in range(3))
-            rows, new, counts, gone_counts, spans = [], {}, [], [], []
-            for k in range(batch.num_rows):
-                if (d[k], h[k]) != last:
-                    last, gone = (d[k], h[k]), []
-                if not kind[k]:
-                    gone = joined(list(zip(at[k], stop[k], strict=True)))
-                    continue
-                rows.append(k)
-                words, said, m = words_of(batch.column(at_text).slice(k, 1)), "", 0
-                if gone:
-                    new[len(rows) - 1], cuts = cut_words(batch.column(at_text)[k].as_py(), gone)
-                    m, said = lines_within(gone, np.flatnonzero(words.line_ends) + 1), ",".join(f"{a}:{b}" for a, b in cuts)
-                counts.append(int(words.line_ends.sum()))
-                gone_counts.append(m)
-                spans.append(said)
-            if rows:
-                columns = [batch.column(2 + k).take(pa.array(rows)) for k in range(len(names))]
-                if new:
-                    was = columns[at_text - 2].to_pylist()
-                    columns[at_text - 2] = pa.array([new.get(k, t) for k, t in enumerate(was)], columns[at_text - 2].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(spans, pa.string())], out_names)
+            if not batch.num_rows:
+                continue
+            d, h, kind = (batch.column(k).to_numpy() for k in (0, 1, 2 + len(names)))
+            new = np.concatenate([[(d[0], h[0]) != last], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
+            key = np.cumsum(new)  # 0: that of the batch before
+            some = batch.filter(pa.array(kind == 0)).columns[3 + len(names) :]
+            of = np.repeat(key[kind == 0], pc.list_value_length(some[0]).to_numpy())
+            of, at, stop = joined(np.concatenate([np.zeros(len(gone[0]), np.int64), of]), *(np.concatenate([g, c.flatten().to_numpy().astype(np.int64)]) for g, c in zip(gone, some, strict=True)))
+            begins = np.searchsorted(of, key)
+            times = np.searchsorted(of, key, "right") - begins
+            last, gone = (d[-1], h[-1]), tuple(c[of == key[-1]] for c in (at, stop))
+            rows = np.flatnonzero(kind == 1)
+            docs_there = batch.take(pa.array(rows))
+            for a, b in ranges(docs_there.column(at_text), AT_A_TIME):
+                n = times[rows[a:b]]
+                own = np.repeat(begins[rows[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                part = docs_there.slice(a, b - a)
+                text, *found = cut_texts(part.column(at_text), np.repeat(np.arange(b - a), n), at[own], stop[own])
+                columns = part.columns[2 : 2 + len(names)]
+                columns[at_text - 2] = text
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.string()), strict=True))], out_names)
+            released()
 
     return kept.unionByName(dealt.mapInArrow(cut, schema))

@@ -64,17 +64,46 @@ class Words:
     line_ends: np.ndarray
 
 
-def words_of(texts: pa.Array) -> Words:
-    """The words of texts (null: none)."""
+@dataclass
+class Bounds:
+    """Where the words of several texts stand in the bytes of all, and what Words has of them but the hashes. texts: the numbers of the bytes with which each begins, and of all bytes."""
+
+    counts: np.ndarray
+    line_ends: np.ndarray
+    data: np.ndarray
+    texts: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """With how many code points of its text before it each word begins, and how many each text has."""
+        if not (self.data > 127).any():
+            return self.first - np.repeat(self.texts[:-1], self.counts), np.diff(self.texts)
+        before = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=before[1:])
+        return before[self.first] - np.repeat(before[self.texts[:-1]], self.counts), np.diff(before[self.texts])
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, and with which each begins, and the number of all."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint8), offsets - offsets[0]
+    return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def bounds_of(texts: pa.Array) -> Bounds:
+    """Where the words of texts (null: none) are. White space of more bytes counts as one space, so code points are those of the texts."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if pc.any(pc.match_substring_regex(texts, ODD_SPACE)).as_py():
-        texts = pc.replace_substring_regex(texts, ODD_SPACE, " ")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    n = int(offsets[-1] - offsets[0])
+    data, offsets = bytes_of(texts)
+    if ((data > 127) | (data - np.uint8(28) < 4)).any() and pc.any(pc.match_substring_regex(texts, ODD_SPACE)).as_py():
+        data, offsets = bytes_of(pc.replace_substring_regex(texts, ODD_SPACE, " "))
+    n = len(data)
     if not n:
-        return Words(np.zeros(len(texts), np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+        none = np.zeros(0, np.int64)
+        return Bounds(np.zeros(len(texts), np.int64), np.zeros(0, bool), data, offsets, none, none)
     space = SPACE[data]
     begins, ends = np.ones(n, bool), np.ones(n, bool)
     begins[1:], ends[:-1] = space[:-1], space[1:]
@@ -82,6 +111,18 @@ def words_of(texts: pa.Array) -> Words:
     ends[offsets[1:][offsets[1:] > 0] - 1] = True
     first, last = np.flatnonzero(begins & ~space), np.flatnonzero(ends & ~space) + 1
     counts = np.diff(np.searchsorted(first, offsets))
+    line_ends = SENTENCE_ENDS[data[last - 1]]
+    line_ends[np.cumsum(counts)[counts > 0] - 1] = True
+    breaks = np.flatnonzero(data == LINE_BREAK)
+    before = np.searchsorted(last, breaks, "right") - 1
+    line_ends[before[before >= 0]] = True
+    return Bounds(counts, line_ends, data, offsets, first, last)
+
+
+def words_of(texts: pa.Array) -> Words:
+    """The words of texts (null: none)."""
+    found = bounds_of(texts)
+    data, first, last = found.data, found.first, found.last
     hashes, k = np.zeros(len(first), np.uint64), 0
     while k < len(first):
         stop = int(np.searchsorted(last, first[k] + AT_ONCE, "right"))
@@ -95,12 +136,7 @@ def words_of(texts: pa.Array) -> Words:
         a, b = first[k:stop] - first[k], last[k:stop] - first[k]
         hashes[k:stop] = (sums[b] - sums[a]) * BACK[a]
         k = stop
-    line_ends = SENTENCE_ENDS[data[last - 1]]
-    line_ends[np.cumsum(counts)[counts > 0] - 1] = True
-    breaks = np.flatnonzero(data == LINE_BREAK)
-    before = np.searchsorted(last, breaks, "right") - 1
-    line_ends[before[before >= 0]] = True
-    return Words(counts, mixed(hashes), line_ends)
+    return Words(found.counts, mixed(hashes), found.line_ends)
 
 
 def shingles_of(words: Words, size: int = SHINGLE) -> list[np.ndarray]:
